@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelight.llm import charforms, encode, sitelines
+from quirelight.llm import charforms, encode, mojibake, sitelines
 from quirelight.runtime import table
 
 
@@ -11,6 +11,8 @@ def queries() -> dict:
         "p1_found": lambda s, d: charforms.found(table(s, d, "pdf_tokens"), table(s, d, "xhtml_tokens"), table(s, d, "differences")),
         "p1_pdf_forms": lambda s, d: charforms.consistent(table(s, d, "pdf_tokens"), "token_id"),
         "p1_xhtml_forms": lambda s, d: charforms.consistent(table(s, d, "xhtml_tokens"), "token_id"),
+        "p5_found": lambda s, d: mojibake.found(table(s, d, "pdf_tokens"), table(s, d, "zones")),
+        "p5_repaired": lambda s, d: mojibake.repaired(table(s, d, "pdf_tokens"), table(s, d, "zones")),
         "p7_found": lambda s, d: sitelines.repeated_lines(table(s, d, "line_features"), table(s, d, "documents")),
         "p7_cleaned": lambda s, d: sitelines.cleaned_documents(table(s, d, "documents"), table(s, d, "line_features")),
         "p8_ids": lambda s, d: encode.encode(table(s, d, "documents")),
