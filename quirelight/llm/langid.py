@@ -1,0 +1,384 @@
+"""Problem 2: the language of documents, zones and foreign segments, by rank-order profiles.
+
+*Training* on a bounded sample (``PER_LABEL`` documents of each listed label,
+chosen by hash): the ``PROFILE`` most frequent 1- to 3-grams of a language in
+order of frequency. Labels may be wrong and texts mixed, so the lines of the
+sample are classified once with the first profiles and only agreeing lines make
+the final ones; a label whose lines are as near to another profile gets none.
+
+*Classification* of a segment (a sentence, roughly): its ``TOP`` most frequent
+n-grams are ranked, and the out-of-place distance to each profile of its script
+is the mean of |rank - profile rank|, ``PROFILE`` for a missing n-gram. Scripts of
+one language are decided by their letters alone, Chinese and Japanese by the share
+of kana. All texts of an Arrow batch are handled together in numpy arrays.
+
+The language with most letters is the record's; a segment changes it only if its
+own language is nearer by ``FOREIGN_MARGIN``. A further language counts with
+``MIN_FOREIGN`` letters. In documents, lines that recur all over the corpus (site
+lines, by their words in small letters) don't count as foreign segments.
+
+The confidence of a record's language is the share of its letters weighted by how
+much nearer the language is than the next one.
+
+Defined cases: null and empty texts and texts with fewer than ``MIN_LETTERS``
+letters have no language; a label counts only in a spelling of ``language_codes``;
+repeated rows count once; texts are processed whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quirelight.operators.hierarchy import current_zones
+from quirelight.runtime import staged
+
+PER_LABEL, PROFILE, TOP = 300, 400, 300
+MARGIN, FOREIGN_MARGIN, MIN_LETTERS, MIN_FOREIGN = 12.0, 40.0, 20, 18
+#: The same where the script alone tells the language.
+MIN_OTHER_SCRIPT = 8
+#: How much nearer a language's lines must be to its own profile than to any other (median).
+OWN_GAP = 20.0
+#: Letters that a segment needs to be told from the languages of its own script.
+MIN_SEGMENT = 16
+#: Share of non-ASCII letters above which a Latin segment is no text of any language.
+MAX_STRANGE = 0.4
+#: A line that stands in this share of all documents, and in so many, is a site line.
+SITE_SHARE, SITE_DOCS = 0.001, 5
+SCRIPTS = ("none", "Latin", "Cyrillic", "Greek", "Arabic", "Devanagari", "Hangul", "Han", "Japanese", "Thai", "other")
+_RANGES = (
+    ("Latin", 0x41, 0x5A), ("Latin", 0x61, 0x7A), ("Latin", 0xAA, 0xAA), ("Latin", 0xBA, 0xBA), ("Latin", 0xC0, 0xD6), ("Latin", 0xD8, 0xF6), ("Latin", 0xF8, 0x24F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF),
+    ("Cyrillic", 0x400, 0x52F), ("other", 0x530, 0x5FF), ("Arabic", 0x620, 0x6FF), ("Arabic", 0xFB50, 0xFDFF), ("Arabic", 0xFE70, 0xFEFC), ("Devanagari", 0x904, 0x97F), ("Thai", 0xE01, 0xE46), ("Hangul", 0x1100, 0x11FF), ("Hangul", 0x3130, 0x318F), ("Hangul", 0xAC00, 0xD7A3),
+    ("Japanese", 0x3041, 0x30FF), ("Japanese", 0xFF66, 0xFF9D), ("Han", 0x3400, 0x9FFF), ("Han", 0xF900, 0xFAFF), ("Han", 0x20000, 0x3FFFF), ("Latin", 0xFF21, 0xFF3A), ("Latin", 0xFF41, 0xFF5A),
+)
+
+
+@cache
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: script, letter code for n-grams (0: no letter), and what it does to a segment."""
+    import unicodedata as U
+
+    script = np.zeros(0x110000, np.uint8)
+    for name, a, b in _RANGES:
+        script[a : b + 1] = SCRIPTS.index(name)
+    for c in range(0x10000):
+        if script[c] and U.category(chr(c))[0] != "L":
+            script[c] = 0
+    code = np.zeros(0x110000, np.uint8)
+    nxt = 1
+    for a, b in ((0x61, 0x7A), (0xDF, 0xFF), (0x100, 0x17F), (0x430, 0x45F), (0x490, 0x491)):
+        for c in range(a, b + 1):
+            if chr(c).islower() and len(chr(c).lower()) == 1:
+                code[c] = nxt
+                nxt += 1
+    for c in range(0x41, 0x500):
+        low = chr(c).lower()
+        if len(low) == 1 and not code[c]:
+            code[c] = code[ord(low)]
+    for k in range(26):
+        code[0xFF21 + k] = code[0xFF41 + k] = code[0x61 + k]
+    role = np.zeros(0x110000, np.uint8)  # 1: ends a sentence before a capital, 2: ends it, 3: blank, 4: capital or opening mark
+    for c in ".!?…:":
+        role[ord(c)] = 1
+    for c in "。！？।\n\x01":
+        role[ord(c)] = 2
+    for c in " \t\xa0":
+        role[ord(c)] = 3
+    for c in range(0x10000):
+        if chr(c).isupper() or chr(c) in "«“„‘\"¿¡—(":
+            role[c] = 4
+    return script, code, role
+
+
+def ngram_codes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the 1-, 2- and 3-grams that end at each position; -1 where there is none.
+
+    A word has a blank on either side; n-grams don't pass a blank.
+    """
+    c = code.astype(np.int64)
+    b = np.concatenate([[0], c[:-1]])
+    a = np.concatenate([[0, 0], c[:-2]])
+    one = np.where(c > 0, c, -1)
+    two = np.where((c > 0) | (b > 0), b << 8 | c, -1)
+    three = np.where((b > 0) & ((a > 0) | (c > 0)), a << 16 | b << 8 | c, -1)
+    return one, np.where(two >= 0, two | 1 << 24, -1), np.where(three >= 0, three | 1 << 25, -1)
+
+
+class Profiles:
+    """Rank profiles of languages, and the classification with them."""
+
+    def __init__(self, langs: list[str], scripts: list[str], grams: list[np.ndarray], singles: dict[str, str]):
+        self.langs, self.scripts, self.grams, self.singles = langs, scripts, grams, singles
+        self.names = [*langs, *sorted(set(singles.values()))]
+
+    def prepare(self) -> Profiles:
+        if not hasattr(self, "index"):
+            every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
+            self.size = len(every)
+            self.index = [np.full(256, -1, np.int16), np.full(1 << 16, -1, np.int16), np.full(1 << 24, -1, np.int16)]
+            for k, g in enumerate(every.tolist()):
+                self.index[2 if g >> 25 else 1 if g >> 24 else 0][g & 0xFFFFFF] = k
+            self.rank = np.full((len(every), len(self.langs)), PROFILE, np.int16)
+            for j, g in enumerate(self.grams):
+                self.rank[np.searchsorted(every, g), j] = np.arange(len(g))
+            self.of_script = {s: np.array([x == s for x in self.scripts]) for s in ("Latin", "Cyrillic")}
+        return self
+
+    def distances(self, code: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
+        """Mean out-of-place distance of each segment to each profile; ``PROFILE`` for empty segments."""
+        c = code.astype(np.int64)
+        b = np.concatenate([[0], c[:-1]])
+        a = np.concatenate([[0, 0], c[:-2]])
+        ids, segs = [], []
+        two, three = b << 8 | c, a << 16 | b << 8 | c
+        for table, key, ok in ((self.index[0], c, None), (self.index[1], two, None), (self.index[2], three, b > 0)):
+            k = table[key]
+            use = k >= 0 if ok is None else (k >= 0) & ok
+            ids.append(k[use].astype(np.int64))
+            segs.append(seg[use])
+        out = np.full((n, len(self.langs)), float(PROFILE))
+        key = np.concatenate(segs) * self.size + np.concatenate(ids)
+        if not len(key):
+            return out
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        s, g = key[first] // self.size, key[first] % self.size
+        order = np.argsort(s << 36 | (0xFFFF - np.minimum(count, 0xFFFF)) << 20 | g)
+        s, g = s[order], g[order]
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        rank = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
+        keep = rank < TOP
+        s, g, rank = s[keep], g[keep], rank[keep].astype(np.int16)
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        places = np.abs(self.rank[g] - rank[:, None])
+        places[self.rank[g] == PROFILE] = PROFILE
+        total = np.add.reduceat(places, start, axis=0, dtype=np.int64)
+        out[s[start]] = total / np.diff(np.append(start, len(s)))[:, None]
+        return out
+
+    def line_distances(self, texts: list[str]) -> np.ndarray:
+        """Distances of whole texts to the profiles."""
+        self.prepare()
+        cp = np.frombuffer(("\x01".join(texts) + "\x01").encode("utf-32-le", "surrogatepass"), np.uint32)
+        seg = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        return self.distances(tables()[1][cp], seg, len(texts))
+
+    def segments(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """Segments of all texts: record, first and last position, letters by script, distances."""
+        self.prepare()
+        script_of, code_of, role_of = tables()
+        joined = "\x01".join(texts) + "\x01"
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        script, code, role = script_of[cp], code_of[cp], role_of[cp]
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        nxt, nxt2 = np.append(role[1:], 0), np.append(role[2:], [0, 0])
+        stop = (role == 2) | (role == 1) & ((nxt == 4) & (np.append(script[1:], 0) != 0) | (nxt == 3) & (nxt2 == 4))
+        seg = np.concatenate([[0], np.cumsum(stop[:-1])])
+        n = int(seg[-1]) + 1
+        first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+        letters = np.bincount(seg * len(SCRIPTS) + script, minlength=n * len(SCRIPTS)).reshape(n, len(SCRIPTS))
+        letters[:, 0] = 0
+        # Latin segments with so many letters beyond ASCII are wrongly decoded
+        strange = np.bincount(seg, (script == 1) & (cp >= 0x80), n) > MAX_STRANGE * np.maximum(letters[:, 1], 1)
+        letters[strange, 1] = 0
+        return {"rec": np.searchsorted(ends, first, side="right"), "first": first, "last": np.append(first[1:], len(cp)), "letters": letters, "dist": self.distances(code, seg, n), "joined": joined, "start": ends - np.array([len(t) + 1 for t in texts])}
+
+    def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict]:
+        """(letters of each record by language, confidence by language, segments with their languages)."""
+        s = self.segments(texts)
+        n, names = len(texts), self.names
+        col = {x: k for k, x in enumerate(names)}
+        letters, dist, rec = s["letters"], s["dist"], s["rec"]
+        total = np.zeros((n, len(names)))
+        sure = np.zeros((n, len(names)))
+        for name, lang in self.singles.items():
+            k = SCRIPTS.index(name)
+            x = np.bincount(rec, letters[:, k], n)
+            total[:, col[lang]] += x
+            sure[:, col[lang]] += x
+        if "zh" in col and "ja" in col:
+            han, kana = (np.bincount(rec, letters[:, SCRIPTS.index(k)], n) for k in ("Han", "Japanese"))
+            ja = kana > 0.05 * (han + kana)
+            total[:, col["ja"]] = sure[:, col["ja"]] = np.where(ja, han + kana, 0)
+            total[:, col["zh"]] = sure[:, col["zh"]] = np.where(ja, 0, han + kana)
+        lang = np.full((len(rec), 2), -1)
+        margin = np.zeros((len(rec), 2))
+        for j, name in enumerate(("Latin", "Cyrillic")):
+            own = self.of_script[name]
+            if not own.any():
+                continue
+            x = letters[:, SCRIPTS.index(name)]
+            d = np.where(own[None, :], dist, 1e6)
+            best = d.argmin(1)
+            two = np.partition(d, 1, axis=1)[:, :2] if d.shape[1] > 1 else np.column_stack([d[:, 0], d[:, 0] + PROFILE])
+            gap = np.minimum(two[:, 1] - two[:, 0], PROFILE)
+            voting = (x >= MIN_SEGMENT) & (gap >= MARGIN / 2) & (two[:, 0] < 0.8 * PROFILE)
+            votes = np.zeros((n, len(self.langs)))
+            np.add.at(votes, (rec[voting], best[voting]), x[voting])
+            weak = ~votes.any(1)
+            if weak.any():  # only short or doubtful segments: the smallest summed distance
+                sums = np.full((n, len(self.langs)), 0.0)
+                np.add.at(sums, rec, np.where(own[None, :], dist * x[:, None], 0))
+                some = np.bincount(rec, x, n)
+                low = np.where(own[None, :], sums, np.inf).argmin(1)
+                use = weak & (some > 0)
+                votes[use, low[use]] = 1
+            main = votes.argmax(1)
+            near = d[np.arange(len(rec)), main[rec]] - d[np.arange(len(rec)), best]
+            own_lang = np.where(voting & (near >= FOREIGN_MARGIN), best, main[rec])
+            lang[:, j] = np.where(x > 0, own_lang, -1)
+            margin[:, j] = np.where(own_lang == best, gap, 0)
+            use = x > 0
+            np.add.at(total, (rec[use], own_lang[use]), x[use])
+            np.add.at(sure, (rec[use], own_lang[use]), x[use] * np.minimum(1.0, (np.where(own_lang == best, gap, 0)[use] + MARGIN) / (5 * MARGIN)))
+        s |= {"lang": lang, "margin": margin}
+        return total, sure / np.maximum(total.sum(1), 1)[:, None], s
+
+
+def train(rows: list[tuple[str, str]], scripts: dict[str, str]) -> Profiles:
+    """Profiles from (language, text) rows; ``scripts``: the script of each language."""
+    shared = {s for s in ("Latin", "Cyrillic")}
+    singles = {}
+    for lang, s in scripts.items():
+        if s not in shared and s in SCRIPTS and s not in ("Han", "Japanese"):
+            singles[s] = lang
+    singles |= {s: lang for lang, s in scripts.items() if s in ("Han", "Japanese")}
+    lines = [(lang, line) for lang, t in rows if scripts.get(lang) in shared for line in t.split("\n") if len(line) > 60]
+
+    def profiles(own: list[tuple[str, str]]) -> Profiles:
+        langs, grams = [], []
+        for lang in sorted({x for x, _ in own}):
+            code = tables()[1][np.frombuffer("\n".join(t for x, t in own if x == lang).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            g, k = np.unique(np.concatenate([x[x >= 0] for x in ngram_codes(code)]), return_counts=True)
+            if len(g):
+                langs.append(lang)
+                grams.append(g[np.lexsort((g, -k))[:PROFILE]])
+        return Profiles(langs, [scripts[x] for x in langs], grams, singles)
+
+    while lines:  # labels without a language of their own: their lines are as near to the other profiles
+        p = profiles(lines)
+        near: dict[str, list] = {x: [] for x in p.langs}
+        for k in range(0, len(lines), 2000):
+            part = lines[k : k + 2000]
+            d = p.line_distances([t for _, t in part])
+            for (lang, _), row in zip(part, d):
+                j = p.langs.index(lang)
+                near[lang].append((row[j], np.delete(row, j).min() if len(row) > 1 else PROFILE))
+        gap = {x: np.median([b - a for a, b in v]) for x, v in near.items()}
+        worst = min(gap, key=lambda x: gap[x])
+        if gap[worst] >= OWN_GAP:
+            break
+        lines = [x for x in lines if x[0] != worst]
+    if lines:
+        kept = []
+        for k in range(0, len(lines), 2000):
+            part = lines[k : k + 2000]
+            kept += [x for x, row in zip(part, p.line_distances([t for _, t in part])) if p.langs[row.argmin()] == x[0]]
+        lines = kept
+    return profiles(lines)
+
+
+def labels(df: DataFrame, codes: DataFrame, label: str) -> DataFrame:
+    """Adds ``labelled``: the language that ``label`` spells, null where it is no listed spelling.
+
+    The list of spellings is a small fixed table, one row for each spelling.
+    """
+    c = codes.groupBy("spelling").agg(F.min("lang_code").alias("labelled"))
+    return df.join(F.broadcast(c), F.col(label) == F.col("spelling"), "left").drop("spelling")
+
+
+def fit(documents: DataFrame, codes: DataFrame, per_label: int = PER_LABEL) -> Profiles:
+    """Profiles from a bounded sample: about ``per_label`` documents of each label, at most twice as many in all."""
+    scripts = {r.lang_code: r.script for r in codes.select("lang_code", "script").distinct().collect()}
+    known = labels(documents.where("text <> ''").select("doc_id", "text", "lang"), codes, "lang").where("labelled is not null")
+    sizes = known.groupBy("labelled").agg(F.count("*").alias("n"))
+    pick = known.join(F.broadcast(sizes), "labelled").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_label << 20))
+    rows = pick.select("doc_id", "labelled", "text").limit(2 * per_label * max(1, len(scripts))).collect()
+    return train([(r.labelled, r.text) for r in sorted(rows, key=lambda r: r.doc_id)], scripts)
+
+
+def _key(line: str) -> int:
+    """Hash of the words in small letters of a line; digits and names left out."""
+    import xxhash
+
+    words = [w for w in line.split() if w[:1].islower()]
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63) if words else 0
+
+
+_SCHEMA = "rec_kind string, rec_id string, labelled string, letters bigint, langs array<struct<lang:string,letters:bigint,confidence:double>>, foreign array<struct<lang:string,letters:bigint,key:bigint>>"
+
+
+def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
+    """rows (rec_kind, rec_id, labelled, text) -> languages of each record, and its foreign lines."""
+    shared = df.sparkSession.sparkContext.broadcast(profiles)
+    kind = pa.struct([("lang", pa.string()), ("letters", pa.int64()), ("confidence", pa.float64())])
+    part_kind = pa.struct([("lang", pa.string()), ("letters", pa.int64()), ("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value.prepare()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 400):
+                part = batch.slice(k, 400)
+                texts = [t or "" for t in part.column(3).to_pylist()]
+                total, sure, s = p.classify(texts)
+                letters = total.sum(1).astype(int)
+                langs = [[{"lang": p.names[j], "letters": int(t[j]), "confidence": round(float(c[j]), 6)} for j in np.argsort(-t, kind="stable") if t[j] > 0] for t, c in zip(total, sure)]
+                foreign = [[] for _ in texts]
+                main = total.argmax(1)
+                for j, script in enumerate(("Latin", "Cyrillic")):
+                    x = s["letters"][:, SCRIPTS.index(script)]
+                    for q in np.flatnonzero((s["lang"][:, j] >= 0) & (s["lang"][:, j] != main[s["rec"]]) & (x > 0)):
+                        r = s["rec"][q]
+                        a = s["joined"].rfind("\n", s["start"][r], s["first"][q] + 1) + 1 or s["start"][r]
+                        b = s["joined"].find("\n", s["first"][q] + 1, s["start"][r] + len(texts[r]))
+                        line = s["joined"][max(a, s["start"][r]) : b if b >= 0 else s["start"][r] + len(texts[r])]
+                        foreign[r].append({"lang": p.langs[s["lang"][q, j]], "letters": int(x[q]), "key": _key(line)})
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(letters, pa.int64()), pa.array(langs, pa.list_(kind)), pa.array(foreign, pa.list_(part_kind))], names=["rec_kind", "rec_id", "labelled", "letters", "langs", "foreign"])
+
+    return df.select("rec_kind", "rec_id", "labelled", "text").mapInArrow(run, _SCHEMA)
+
+
+def without_site_lines(found: DataFrame, n_docs: int, singles: list[str]) -> DataFrame:
+    """(rec_kind, rec_id, lang, letters, confidence, main): languages of each record, site lines of documents left out.
+
+    Only the foreign lines of the corpus are counted, (line, document) pairs first.
+    """
+    least = max(SITE_DOCS, int(SITE_SHARE * n_docs))
+    f = found.where("rec_kind = 'document' and size(foreign) > 0").select("rec_id", F.explode("foreign").alias("f")).select("rec_id", "f.lang", "f.letters", "f.key")
+    site = f.select("rec_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
+    minus = f.join(site, "key", "left_semi").groupBy("rec_id", "lang").agg(F.sum("letters").alias("minus")).withColumn("rec_kind", F.lit("document"))
+    rows = found.select("rec_kind", "rec_id", "labelled", F.col("letters").alias("all_letters"), F.posexplode("langs").alias("pos", "l")).select("rec_kind", "rec_id", "labelled", "all_letters", (F.col("pos") == 0).alias("main"), "l.*")
+    return rows.join(minus, ["rec_kind", "rec_id", "lang"], "left").withColumn("letters", F.col("letters") - F.coalesce("minus", F.lit(0))).drop("minus").where(F.col("main") | (F.col("letters") >= F.when(F.col("lang").isin(singles), MIN_OTHER_SCRIPT).otherwise(MIN_FOREIGN)))
+
+
+def records(documents: DataFrame, zones: DataFrame, codes: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, labelled, text) of documents and of current zones with tag p, title or fn."""
+    d = documents.select(F.lit("document").alias("rec_kind"), F.col("doc_id").cast("string").alias("rec_id"), F.col("lang").alias("label"), "text").where("text <> ''")
+    z = zones.where("tag in ('p', 'title', 'fn')").withColumn("label", F.col("attributes")["lang"])
+    z = current_zones(z, "tag", "label", "text").where("text <> ''").select(F.lit("zone").alias("rec_kind"), F.col("zone_id").alias("rec_id"), "label", "text")
+    return labels(d.unionByName(z), codes, "label").drop("label")
+
+
+def languages(documents: DataFrame, zones: DataFrame, codes: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, lang, letters, confidence, main, labelled): every language of every record."""
+    p = fit(documents, codes)
+    found = staged(identified(records(documents, zones, codes), p), "languages")
+    n_docs = found.where("rec_kind = 'document'").count()
+    return without_site_lines(found, n_docs, sorted(set(p.singles.values()))).where(F.col("all_letters") >= MIN_LETTERS)
+
+
+def cases(rows: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, lang) of the records whose label is missing or wrong or that are in two languages."""
+    own = rows.groupBy("rec_kind", "rec_id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("lang") == F.col("labelled"), F.lit(False))).alias("right"))
+    hit = own.where("n > 1 or not right").select("rec_kind", "rec_id")
+    return rows.join(hit, ["rec_kind", "rec_id"], "left_semi").select("rec_kind", "rec_id", "lang").distinct()
+
+
+def found(documents: DataFrame, zones: DataFrame, codes: DataFrame) -> DataFrame:
+    return cases(languages(documents, zones, codes))
