@@ -144,6 +144,18 @@ def _utf8_like():
     return re.compile("|".join(parts))
 
 
+@cache
+def _utf8_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether a character can be the first, or a later one, of ``_utf8_like``."""
+    lead, tail = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for enc in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250"):
+        for b in range(0x80, 0xF5):
+            ch = bytes([b]).decode(enc, "replace")
+            if ch != "�":
+                (tail if b < 0xC0 else lead)[ord(ch)] = True
+    return lead, tail
+
+
 def _codes(texts: list[str]) -> np.ndarray:
     """Classes of all characters of the texts, a blank between any two and at both ends."""
     joined = " " + " ".join(texts) + " "
@@ -331,6 +343,32 @@ class Repair:
             out += [(lo + m.start(), lo + m.end()) for m in self.foreign.finditer(text[lo:hi])]
         return sorted(set(out))
 
+    def suspects(self, texts: list[str]) -> list[int]:
+        """Indices of the texts that have an improbable position at all, for a whole batch at once."""
+        if not texts:
+            return []
+        joined = " " + " ".join(texts) + " "
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = self.table[cp]
+        high = c >= 0x80
+        k = self.kinds[c]
+        word = (k >= 2) & (k <= _LETTER)
+        hot = np.zeros(len(cp), bool)
+        at = np.flatnonzero(high[:-1] | high[1:])
+        hot[at] = self.pmi[c[at], c[at + 1]] < THETA
+        hot[1:-1] |= high[1:-1] & (k[1:-1] > _QUOTE) & (k[1:-1] != _MARK) & word[:-2] & word[2:]
+        both = np.flatnonzero((cp[:-1] >= 0x80) & (cp[1:] >= 0x80))
+        lead, tail = _utf8_tables()
+        hot[both] |= lead[cp[both]] & tail[cp[both + 1]]
+        # texts i covers positions ends[i-1]..ends[i]: its own characters and the blanks beside it
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        where = np.flatnonzero(hot)
+        if not len(where):
+            return []
+        own = np.minimum(np.searchsorted(ends, where, side="left"), len(texts) - 1)
+        also = np.minimum(np.searchsorted(ends, where, side="right"), len(texts) - 1)
+        return np.unique(np.concatenate([own, also])).tolist()
+
     def text(self, text: str) -> tuple[str, bool]:
         """(restored text, whether it was wrongly decoded anywhere)."""
         if text.isascii():
@@ -379,7 +417,10 @@ def restored(df: DataFrame, info: tuple[np.ndarray, np.ndarray], *keys: str) ->
         fix = Repair(*shared.value)
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
-            done = [fix.text(t) if t else (t, False) for t in texts]
+            done = [(t, False) for t in texts]
+            some = [i for i, t in enumerate(texts) if t and not t.isascii()]
+            for k in fix.suspects([texts[i] for i in some]):
+                done[some[k]] = fix.text(texts[some[k]])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], names=[*keys, "text", "restored", "wrong"])
 
     return df.select(*keys, "text").mapInArrow(run, f"{fields}, text string, restored string, wrong boolean")
