@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelight.llm import charforms, encode, langid, mojibake, scanfix, sitelines
+from quirelight.llm import charforms, encode, langid, mixing, mojibake, reading, scanfix, sentences, sitelines
 from quirelight.runtime import table
 
 
@@ -17,10 +17,15 @@ def queries() -> dict:
         "p3_paragraphs": lambda s, d: scanfix.repaired_lines(table(s, d, "line_features"), table(s, d, "zones")),
         "p5_found": lambda s, d: mojibake.found(table(s, d, "pdf_tokens"), table(s, d, "zones")),
         "p5_repaired": lambda s, d: mojibake.repaired(table(s, d, "pdf_tokens"), table(s, d, "zones")),
+        "p6_found": lambda s, d: sentences.sentence_ends(table(s, d, "zones"), table(s, d, "line_features"), table(s, d, "pdf_tokens")),
         "p7_found": lambda s, d: sitelines.repeated_lines(table(s, d, "line_features"), table(s, d, "documents")),
         "p7_cleaned": lambda s, d: sitelines.cleaned_documents(table(s, d, "documents"), table(s, d, "line_features")),
         "p8_ids": lambda s, d: encode.encode(table(s, d, "documents")),
         "p8_token_counts": lambda s, d: encode.token_counts(table(s, d, "documents")),
+        "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"), table(s, d, "language_codes")),
+        "p9_shares": lambda s, d: mixing.shares(table(s, d, "documents"), table(s, d, "mix_targets"), table(s, d, "language_codes")),
+        "p10_found": lambda s, d: reading.found(table(s, d, "documents"), table(s, d, "reading_labels"), table(s, d, "language_codes")),
+        "p10_levels": lambda s, d: reading.levels(table(s, d, "documents"), table(s, d, "reading_labels"), table(s, d, "language_codes")),
     }
 
 
