@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.queries import hierarchy
+from quirelight.queries import hierarchy, relational, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (hierarchy,)
+MODULES = (hierarchy, relational, text)
 
 
 def queries() -> dict[str, Query]:
