@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.queries import hierarchy, relational, text
+from quirelight.queries import hierarchy, python, relational, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (hierarchy, relational, text)
+MODULES = (hierarchy, relational, text, python)
 
 
 def queries() -> dict[str, Query]:
