@@ -20,12 +20,15 @@ def delete_cascade(zones: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def set_parent(zones: DataFrame, moves: DataFrame) -> DataFrame:
-    """(zone_id, new_parent, accepted): moves (zone_id, new_parent); one that would close a circle is refused."""
+    """(zone_id, new_parent, accepted): each move (zone_id, new_parent) for itself; one that would close a circle is refused.
+
+    It would if the new parent is the zone or lies below it, that is if the zone is on
+    the new parent's path; a parent on or below a circle is refused too.
+    """
     nodes = staged(zone_nodes(zones), "nodes")
     m = moves.select(F.lower(F.trim("zone_id")).alias("id"), F.lower(F.trim("new_parent")).alias("to"), "zone_id", "new_parent")
-    new = nodes.join(m.select("id", "to"), "id", "left").select("id", "doc_id", F.coalesce("to", "parent").alias("parent"))
-    bad = hierarchy(new, "doc_id").where("ring is not null").select("id", F.lit(True).alias("_bad"))
-    return m.join(bad, "id", "left").select("zone_id", "new_parent", F.col("_bad").isNull().alias("accepted"))
+    paths = hierarchy(nodes.select("id", "parent", "doc_id"), "doc_id", with_path=True).select(F.col("id").alias("to"), "path")
+    return m.join(paths, "to", "left").select("zone_id", "new_parent", F.coalesce(~F.array_contains("path", F.col("id")), F.lit(False)).alias("accepted"))
 
 
 def levels(zones: DataFrame) -> DataFrame:
