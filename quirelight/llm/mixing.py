@@ -50,7 +50,7 @@ def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], mos
     groups = []
     for k in (1, 2, 0):
         names = sorted({c[k] for c in cells})
-        at = np.array([names.index(c[k]) for c in cells])
+        at = np.array([names.index(c[k]) for c in cells], int)
         own = np.bincount(at, tokens, len(names))
         goal = np.array([shares.get(n, 0.0) * total for n in names]) if k == 0 else own / max(own.sum(), 1) * total
         groups.append((at, goal, k == 0))
@@ -70,7 +70,7 @@ def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], mos
                     w = w * np.minimum(over, 1.0)
                 if not hard or np.allclose(np.minimum(np.bincount(at, tokens * w, len(goal)), goal), np.minimum(goal, np.bincount(at, tokens * caps, len(goal))), rtol=1e-9):
                     break
-        if np.abs(w - before).max() < TOLERANCE:
+        if not len(w) or np.abs(w - before).max() < TOLERANCE:
             break
     return w
 

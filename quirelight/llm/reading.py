@@ -164,7 +164,7 @@ def levels(documents: DataFrame, reading_labels: DataFrame, codes: DataFrame) ->
         scored = m.select("doc_id", _score(w).alias("score"))
     else:
         scored = m.select("doc_id", F.lit(None).cast("double").alias("score"))
-    level = F.least(F.lit(5), F.greatest(F.lit(1), F.round("score").cast("int")))
+    level = F.when(F.col("score").isNotNull(), F.least(F.lit(5), F.greatest(F.lit(1), F.round("score").cast("int"))))
     return documents.select("doc_id").join(scored, "doc_id", "left").select("doc_id", "score", level.alias("level"))
 
 
