@@ -188,7 +188,7 @@ def succession_probability(d):
 
 @operator
 def corpus_summary(d):
-    return f"WITH {CUR}, {_NEXT}, c AS (SELECT tag, nxt, count(*) AS n FROM s WHERE nxt IS NOT NULL GROUP BY tag, nxt) SELECT tag, nxt, n, k FROM (SELECT *, row_number() OVER (ORDER BY n DESC, tag, nxt) AS k FROM c) AS x WHERE k <= 25"
+    return f"WITH {CUR}, {_NEXT}, c AS (SELECT tag, nxt, count(*) AS n FROM s WHERE nxt IS NOT NULL GROUP BY tag, nxt) SELECT tag, nxt, n FROM c ORDER BY n DESC, tag, nxt LIMIT 25"
 
 
 @operator
@@ -489,7 +489,8 @@ def index_hierarchy(d):
 
 @operator
 def cap_findings(d):
-    return "WITH f AS (SELECT DISTINCT diff_id, doc_id, found_at FROM {differences}) SELECT diff_id, doc_id FROM (SELECT *, row_number() OVER (ORDER BY diff_id) AS k FROM f) AS x WHERE k <= 20000"
+    """The first 20,000 findings by id: a top-k, so each task sends on no more than that."""
+    return "SELECT diff_id, doc_id FROM (SELECT DISTINCT diff_id, doc_id FROM {differences}) AS f ORDER BY diff_id LIMIT 20000"
 
 
 @operator
