@@ -40,6 +40,8 @@ def run(spark: SparkSession, name: str, tables: Callable[[str], DataFrame]) -> D
     """The operator ``name`` over tables that ``tables`` finds by name."""
     sql = OPERATORS[name](SPARK)
     names = tables_of(sql)
+    if not names:
+        return spark.sql(sql)
     ready = re.sub(r"\{\{(" + "|".join(TABLES) + r")\}\}", r"{\1}", sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(ready, **{n: tables(n) for n in names})
 

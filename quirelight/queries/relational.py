@@ -1,7 +1,8 @@
-"""Registered queries of ``operators.relational``: one of each operator, over the whole tables."""
+"""Registered queries of ``operators.relational`` and ``operators.evidence``: one of each, over the whole tables."""
 
 from __future__ import annotations
 
+from quirelight.operators import evidence as _evidence  # noqa: F401  (adds its operators)
 from quirelight.operators import relational as R
 from quirelight.runtime import table
 

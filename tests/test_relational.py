@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quirelight.operators import evidence as _evidence  # noqa: F401
 from quirelight.operators import layout as L
 from quirelight.operators import relational as R
 
