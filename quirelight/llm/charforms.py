@@ -50,9 +50,10 @@ def _compat(ch: str) -> str | None:
         return OTHER_SHAPE[ch]
     d = U.decomposition(ch)
     tag = d.split(" ")[0]
-    if tag in SAME_TAGS or (tag == "<compat>" and U.category(ch) in ("Ll", "Lu", "Lt", "Lo", "Nl", "So") and all(U.category(c)[0] in "LM" for c in U.normalize("NFKC", ch))):
-        return U.normalize("NFKC", ch)
-    return None
+    to = U.normalize("NFKC", ch)
+    letters = U.category(ch) in ("Ll", "Lu", "Lt", "Lo", "Nl") and all(U.category(c)[0] in "LM" for c in to)
+    radical = U.category(ch) == "So" and len(to) == 1 and U.category(to) == "Lo"
+    return to if tag in SAME_TAGS or tag == "<compat>" and (letters or radical) else None
 
 
 @cache
