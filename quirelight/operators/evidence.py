@@ -40,7 +40,8 @@ def is_confusable(d):
 
 @operator
 def space_run_change(d):
-    return f"WITH {PAIRED} SELECT token_id, {d.count('a', ' {2,}')} AS runs_a, {d.count('b', ' {2,}')} AS runs_b FROM pr WHERE {d.sub('a', ' +', ' ')} = {d.sub('b', ' +', ' ')} AND a <> b"
+    """Lines with runs of blanks that the single-spaced text of the same words doesn't have."""
+    return f"WITH {LINES} SELECT line_id, {d.count('text', ' {2,}')} AS runs FROM ln WHERE {d.count('text', ' {2,}')} > 0"
 
 
 @operator
@@ -54,7 +55,7 @@ def content_fast_path(d):
 @operator
 def heading_diff(d):
     """Titles of neighbouring levels: a level that jumps by more than one down."""
-    return f"WITH {CUR}, t AS (SELECT zone_id, doc_id, level, lag(level) OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS before FROM cur WHERE tag = 'title' AND level IS NOT NULL) SELECT zone_id, before, level FROM t WHERE level > before + 1"
+    return f"WITH {CUR}, t AS (SELECT zone_id, doc_id, level, lag(level) OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS before FROM cur WHERE tag = 'title' AND level IS NOT NULL) SELECT zone_id, before, level, coalesce(level > before + 1, false) AS jumps FROM t"
 
 
 @operator
@@ -112,7 +113,7 @@ def column_change(d):
 def align_pages(d):
     """Pages of one document with the same text: repeats, by the hash of their lines."""
     agg = "md5(array_join(transform(array_sort(collect_list(named_struct('k', line_no, 'i', line_id, 't', text))), s -> s.t), ' '))" if d.name == "spark" else "md5(string_agg(text, ' ' ORDER BY line_no, line_id))"
-    return f"WITH {LINES}, p AS (SELECT doc_id, page, {agg} AS h FROM ln WHERE text IS NOT NULL GROUP BY doc_id, page) SELECT doc_id, h, count(*) AS pages, min(page) AS first_page FROM p GROUP BY doc_id, h HAVING count(*) > 1"
+    return f"WITH {LINES}, p AS (SELECT doc_id, page, {agg} AS h FROM ln WHERE text IS NOT NULL GROUP BY doc_id, page) SELECT doc_id, h, count(*) AS pages, min(page) AS first_page FROM p GROUP BY doc_id, h"
 
 
 @operator
@@ -307,10 +308,10 @@ def tokenize_names(d):
 
 @operator
 def spelling(d):
-    """Words of titles that the rest of the corpus doesn't have."""
+    """Words of titles, and whether the rest of the corpus lacks them."""
     w = d.all("lower(text)", r"\p{L}+")
     un = "explode" if d.name == "spark" else "unnest"
-    return f"WITH {CUR}, t AS (SELECT zone_id, {un}({w}) AS word FROM cur WHERE tag = 'title'), v AS (SELECT DISTINCT {un}({w}) AS word FROM cur WHERE tag <> 'title') SELECT DISTINCT t.word FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.word = t.word) AND {d.has('t.word', '^[a-z]+$')}"
+    return f"WITH {CUR}, t AS (SELECT zone_id, {un}({w}) AS word FROM cur WHERE tag = 'title'), v AS (SELECT DISTINCT {un}({w}) AS word FROM cur WHERE tag <> 'title') SELECT DISTINCT t.word, v.word IS NULL AS unknown FROM t LEFT JOIN v ON v.word = t.word WHERE {d.has('t.word', '^[a-z]+$')}"
 
 
 @operator
@@ -375,4 +376,4 @@ def decoration_ranges(d):
 def add_zone(d):
     """Where a zone of a page's first line would hang: the smallest zone around it."""
     return f"""WITH {CUR}, {LINES}, f AS (SELECT doc_id, page, line_id, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, line_id) AS k FROM ln) AS q WHERE k = 1)
-        SELECT line_id, parent FROM (SELECT f.line_id, z.zone_id AS parent, row_number() OVER (PARTITION BY f.line_id ORDER BY {AREA('z')}, z.zone_id) AS k FROM f JOIN cur z ON z.doc_id = f.doc_id AND z.page = f.page AND z.x0 <= f.x0 + 2 AND z.y0 <= f.y0 + 2 AND z.x1 >= f.x1 - 2 AND z.y1 >= f.y1 - 2) AS x WHERE k = 1"""
+        SELECT line_id, parent FROM (SELECT f.line_id, z.zone_id AS parent, row_number() OVER (PARTITION BY f.line_id ORDER BY {AREA('z')}, z.zone_id) AS k FROM f LEFT JOIN cur z ON z.doc_id = f.doc_id AND z.page = f.page AND z.x0 <= f.x0 + 2 AND z.y0 <= f.y0 + 2 AND z.x1 >= f.x1 - 2 AND z.y1 >= f.y1 - 2) AS x WHERE k = 1"""

@@ -129,7 +129,8 @@ def section_at(d):
 
 @operator
 def broken_links(d):
-    return "SELECT DISTINCT x.token_id, x.pdf_token_id FROM {xhtml_tokens} x WHERE x.pdf_token_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pdf_tokens} p WHERE p.token_id = x.pdf_token_id)"
+    """Every link of a token to its counterpart, and whether the target is there."""
+    return "SELECT DISTINCT x.token_id, x.pdf_token_id, p.token_id IS NULL AS broken FROM {xhtml_tokens} x LEFT JOIN (SELECT DISTINCT token_id FROM {pdf_tokens}) p ON p.token_id = x.pdf_token_id WHERE x.pdf_token_id IS NOT NULL"
 
 
 @operator
@@ -420,7 +421,7 @@ def group_lines_into_blocks(d):
 
 @operator
 def style_breaks(d):
-    return f"""WITH {LINES}, g AS (SELECT *, {_PREV} FROM ln WINDOW w AS (PARTITION BY doc_id, page, block_no ORDER BY line_no, line_id)) SELECT line_id FROM g WHERE abs(font_size - p_size) > greatest(0.8e0, 0.12e0 * p_size) OR bold <> p_bold"""
+    return f"""WITH {LINES}, g AS (SELECT *, {_PREV} FROM ln WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no, line_id)) SELECT line_id FROM g WHERE abs(font_size - p_size) > greatest(0.8e0, 0.12e0 * p_size) OR bold <> p_bold"""
 
 
 @operator

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelight.functions import markup, unicode
+from quirelight.functions import text as T
 from quirelight.operators import align, layout
 from quirelight.runtime import table
 
@@ -13,6 +14,12 @@ def _sides(s, d):
     return align.tokens(table(s, d, "pdf_tokens"), "token_id"), align.tokens(table(s, d, "xhtml_tokens"), "token_id")
 
 
+def _signs(s, d, name):
+    """Tokens cut into words and signs."""
+    t = align.tokens(table(s, d, name), "token_id").select("doc_id", "pos", F.posexplode(T.column(T.tokenize_exact)).alias("k", "text"))
+    return t.select("doc_id", (F.col("pos") * 1000 + F.col("k")).alias("pos"), "text")
+
+
 def _paragraphs(s, d):
     """Paragraphs of both sides as texts in order."""
     out = []
@@ -51,7 +58,7 @@ def _changed(s, d):
 QUERIES = {
     "align_tokens": lambda s, d: align.align(*_sides(s, d)),
     "word_differences": lambda s, d: align.word_differences(align.align(*_sides(s, d))),
-    "gap_symbols": lambda s, d: align.gap_symbols(*_sides(s, d)),
+    "gap_symbols": lambda s, d: align.gap_symbols(_signs(s, d, "pdf_tokens"), _signs(s, d, "xhtml_tokens")).groupBy("doc_id", "type").agg(F.count("*").alias("n")),
     "paragraph_merge_split": lambda s, d: align.paragraph_changes(*_paragraphs(s, d)),
     "align_by_key": lambda s, d: align.align(*_paragraphs(s, d)).groupBy("doc_id", "op").agg(F.count("*").alias("n")),
     "similarity": lambda s, d: _changed(s, d).select("token_id", align.similarity("text", "other").alias("ratio")),
