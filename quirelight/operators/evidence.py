@@ -65,7 +65,7 @@ def list_diff(d):
 
 @operator
 def footnote_diff(d):
-    n = d.get("text", r"^\s*\[?(\d+)", 1)
+    n = d.get("text", r"^\s*\[?(\d{1,9})", 1)
     return f"""WITH {CUR}, f AS (SELECT zone_id, doc_id, cast(nullif({n}, '') AS int) AS mark, row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS pos FROM cur WHERE tag = 'fn' AND text <> ''),
         o AS (SELECT zone_id, mark, lag(mark) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM f) SELECT zone_id, mark, CASE WHEN mark IS NULL THEN 'NO_MARKER' WHEN mark < before THEN 'MARKER_ORDER' ELSE 'OK' END AS verdict FROM o"""
 
@@ -172,7 +172,7 @@ def structural_verdict(d):
 @operator
 def tag_confidence(d):
     return f"""WITH {LINES}, {_BODY}, b AS (SELECT doc_id, page, block_no, min(kind) AS kind FROM {{layout_blocks}} GROUP BY doc_id, page, block_no)
-        SELECT l.line_id, 100 * (0.15e0 * least(1.0e0, l.x0 / 100) + 0.1e0 * CASE WHEN l.bold THEN 1.0e0 ELSE 0.0e0 END + 0.35e0 * CASE WHEN b.kind = 'text' THEN 0.9e0 ELSE 0.6e0 END + 0.4e0 * least(1.0e0, l.font_size / (2 * s.body))) AS confidence
+        SELECT l.line_id, 100 * (0.15e0 * least(1.0e0, l.x0 / 100) + 0.1e0 * CASE WHEN l.bold THEN 1.0e0 ELSE 0.0e0 END + 0.35e0 * CASE WHEN b.kind = 'text' THEN 0.9e0 ELSE 0.6e0 END + 0.4e0 * least(1.0e0, l.font_size / nullif(2 * s.body, 0))) AS confidence
         FROM ln l JOIN b ON b.doc_id = l.doc_id AND b.page = l.page AND b.block_no = l.block_no JOIN bs s ON s.doc_id = l.doc_id"""
 
 

@@ -3,7 +3,8 @@
 Three steps, so that the shuffles carry links between fragments and not every
 level of every tree:
 
-1. *Contract.* The nodes are partitioned by a locality key (a document, say).
+1. *Contract.* The nodes are partitioned by a locality key (a document, say; one
+   with too many nodes for a partition is dealt out by id).
    Inside a partition pointer doubling over numpy arrays leads each node to its
    *exit*: the last ancestor inside the partition. Circles that lie in one
    partition are found here.
@@ -227,7 +228,14 @@ def _expand(done: DataFrame, solved: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(nodes: DataFrame, locality: str | None = None, with_path: bool = False, task_rows: int = TASK_ROWS, parts: int | None = None, fanin: int = 8) -> DataFrame:
+def _placed(base: DataFrame, parts: int, node_rows: int) -> DataFrame:
+    """Adds ``home``: the partition of a node, by its locality; a locality of more than ``node_rows`` nodes is dealt out by id."""
+    large = base.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > node_rows).select("_h", F.ceil(F.col("_n") / node_rows).alias("_k"))
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_k")), F.lit(0))
+    return base.join(large, "_h", "left").withColumn("home", F.pmod(F.pmod("_h", F.lit(parts)) + part, F.lit(parts)).cast("int")).drop("_k")
+
+
+def hierarchy(nodes: DataFrame, locality: str | None = None, with_path: bool = False, task_rows: int = TASK_ROWS, node_rows: int = NODES_PER_PART, parts: int | None = None, fanin: int = 8) -> DataFrame:
     """nodes(id, parent, and the column ``locality``) -> (id, root, depth, ring[, path]).
 
     ``ring`` is the smallest id of the circle that a node is on or below, else
@@ -240,8 +248,8 @@ def hierarchy(nodes: DataFrame, locality: str | None = None, with_path: bool = F
     base = nodes.select("id", "parent", F.xxhash64(loc).alias("_h")).join(known, "parent", "left").select("id", F.when(F.col("_k"), F.col("parent")).alias("parent"), "_h")
     seg = F.array("id") if with_path else F.array().cast("array<string>")
     base = staged(base.select("id", "parent", F.lit(1).cast("bigint").alias("w"), F.col("parent").alias("low"), seg.alias("seg"), "_h"), "nodes")
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // NODES_PER_PART))
-    base = base.withColumn("home", F.pmod("_h", F.lit(parts)).cast("int"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // node_rows))
+    base = _placed(base, parts, node_rows)
     done = staged(_contracted(base.repartition(parts, "home")).join(base.select("id", "home"), "id"), "contracted")
     flat = _resolve(done, parts, task_rows, fanin)
     free = F.col("ring").isNull()

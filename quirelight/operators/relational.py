@@ -590,12 +590,12 @@ def classify_alignment(d):
 @operator
 def compute_features(d):
     return f"""WITH {LINES}, {_BODY}, c AS (SELECT doc_id, page, min(x0) AS l, max(x1) AS r, max(y1) AS h FROM ln GROUP BY doc_id, page)
-        SELECT a.line_id, a.x0 / c.r AS x, a.y0 / c.h AS y, (a.x1 - a.x0) / c.r AS w, (a.x0 - c.l) / c.r AS indent, a.font_size / b.body AS font_ratio, length(a.text) AS text_len FROM ln a JOIN c ON c.doc_id = a.doc_id AND c.page = a.page JOIN bs b ON b.doc_id = a.doc_id"""
+        SELECT a.line_id, a.x0 / nullif(c.r, 0) AS x, a.y0 / nullif(c.h, 0) AS y, (a.x1 - a.x0) / nullif(c.r, 0) AS w, (a.x0 - c.l) / nullif(c.r, 0) AS indent, a.font_size / nullif(b.body, 0) AS font_ratio, length(a.text) AS text_len FROM ln a JOIN c ON c.doc_id = a.doc_id AND c.page = a.page JOIN bs b ON b.doc_id = a.doc_id"""
 
 
 @operator
 def heading_score(d):
-    return f"""WITH {LINES}, {_BODY} SELECT a.line_id, least(1.0e0, 0.4e0 * greatest(0.0e0, least(1.0e0, (a.font_size / b.body - 1) / 0.5e0)) + CASE WHEN a.bold THEN 0.25e0 ELSE 0.0e0 END + 0.15e0 * coalesce(a.caps_ratio, 0)
+    return f"""WITH {LINES}, {_BODY} SELECT a.line_id, least(1.0e0, 0.4e0 * greatest(0.0e0, least(1.0e0, (a.font_size / nullif(b.body, 0) - 1) / 0.5e0)) + CASE WHEN a.bold THEN 0.25e0 ELSE 0.0e0 END + 0.15e0 * coalesce(a.caps_ratio, 0)
         + CASE WHEN {T.ends_sentence('a.text', d)} THEN 0.0e0 ELSE 0.2e0 END) AS score FROM ln a JOIN bs b ON b.doc_id = a.doc_id"""
 
 

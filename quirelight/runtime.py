@@ -37,11 +37,22 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     several consumers read one result instead of computing it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staging(spark: SparkSession) -> str:
+    """The application's own folder for staged tables."""
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's staged tables; DataFrames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def conf(spark: SparkSession, **settings: str):
     """Session settings (dots written as ``__``) for the time of a block."""

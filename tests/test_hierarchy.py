@@ -23,12 +23,12 @@ def brute(nodes):
     return out
 
 
-@pytest.mark.parametrize("kw", [{}, {"locality": "g", "task_rows": 5, "parts": 16, "fanin": 4}, {"locality": "g", "task_rows": 0, "parts": 3}])
+@pytest.mark.parametrize("kw", [{}, {"locality": "g", "task_rows": 5, "parts": 16, "fanin": 4}, {"locality": "g", "task_rows": 0, "parts": 3}, {"locality": "one", "node_rows": 20, "task_rows": 9}])
 def test_against_brute_force(spark, kw):
     r, n = random.Random(4), 300
     nodes = [(f"n{i:03d}", None if r.random() < 0.05 else f"n{r.randrange(max(1, i - 20), i + 2) if r.random() < 0.97 else r.randrange(n + 9):03d}") for i in range(n)]
     want, up = brute(nodes), dict(nodes)
-    df = spark.createDataFrame([(a, b, i // 30) for i, (a, b) in enumerate(nodes)], "id string, parent string, g int")
+    df = spark.createDataFrame([(a, b, i // 30) for i, (a, b) in enumerate(nodes)], "id string, parent string, g int").selectExpr("*", "1 AS one")
     rows = H.hierarchy(df, with_path=True, **kw).collect()
     assert {x.id: (x.root, x.depth) for x in rows} == want
     for x in rows:
@@ -70,3 +70,12 @@ def test_zone_cases(make):
     assert not left & {"b", "c"} and "a" in left
     moves = z.sparkSession.createDataFrame([("a", "c"), ("e", "a")], "zone_id string, new_parent string")
     assert {(r.zone_id, r.accepted) for r in Z.set_parent(z, moves).collect()} == {("a", False), ("e", True)}
+
+
+def test_clear(spark):
+    from quirelight import runtime
+
+    df = runtime.staged(spark.range(5))
+    assert df.count() == 5
+    runtime.clear(spark)
+    assert runtime.staged(spark.range(3)).count() == 3
