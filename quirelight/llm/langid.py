@@ -22,7 +22,8 @@ much nearer the language is than the next one.
 
 Defined cases: null and empty texts and texts with fewer than ``MIN_LETTERS``
 letters have no language; a label counts only in a spelling of ``language_codes``;
-repeated rows count once; texts are processed whole.
+repeated rows count once; texts are processed whole. A text that is garbled for the
+most part is classified after its encoding is undone (``readable``).
 """
 
 from __future__ import annotations
@@ -176,6 +177,9 @@ class Profiles:
         joined = "\x01".join(texts) + "\x01"
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         script, code, role = script_of[cp], code_of[cp], role_of[cp]
+        greek = script == SCRIPTS.index("Greek")
+        if greek.any():  # a Greek letter alone among others is a sign or wrongly decoded
+            script = np.where(greek & ~np.append(greek[1:], False) & ~np.append(False, greek[:-1]), 0, script)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         nxt, nxt2 = np.append(role[1:], 0), np.append(role[2:], [0, 0])
         stop = (role == 2) | (role == 1) & ((nxt == 4) & (np.append(script[1:], 0) != 0) | (nxt == 3) & (nxt2 == 4))
@@ -186,8 +190,9 @@ class Profiles:
         letters[:, 0] = 0
         # Latin segments with so many letters beyond ASCII are wrongly decoded
         strange = np.bincount(seg, (script == 1) & (cp >= 0x80), n) > MAX_STRANGE * np.maximum(letters[:, 1], 1)
+        lost = np.where(strange, letters[:, 1], 0)
         letters[strange, 1] = 0
-        return {"rec": np.searchsorted(ends, first, side="right"), "first": first, "last": np.append(first[1:], len(cp)), "letters": letters, "dist": self.distances(code, seg, n), "joined": joined, "start": ends - np.array([len(t) + 1 for t in texts])}
+        return {"rec": np.searchsorted(ends, first, side="right"), "first": first, "last": np.append(first[1:], len(cp)), "letters": letters, "lost": lost, "dist": self.distances(code, seg, n), "joined": joined, "start": ends - np.array([len(t) + 1 for t in texts])}
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict]:
         """(letters of each record by language, confidence by language, segments with their languages)."""
@@ -241,6 +246,58 @@ class Profiles:
         return total, sure / np.maximum(total.sum(1), 1)[:, None], s
 
 
+# Encodings used by mistake, and those of whole texts in other scripts that they stood for.
+READ_AS, WRITTEN_IN = ("cp1252", "latin-1", "cp437", "mac_roman", "cp850", "cp1251"), ("utf-8", "cp1251", "koi8_u", "cp1253", "cp1256", "cp874", "shift_jis", "euc_kr", "gb18030", "big5")
+
+
+def readable(text: str, again: int = 2) -> str | None:
+    """A wholly garbled text with its encoding undone, as far as it can be; None if no encoding fits.
+
+    An encoding fits if it loses few of the bytes and most letters come out in one
+    script other than Latin; of several the one with the most small or
+    caseless letters, UTF-8 before all.
+    """
+    script_of = tables()[0]
+    best: tuple[float, str] | None = None
+    for wrong in READ_AS:
+        raw = bytearray()
+        bad = 0
+        for c in text:
+            try:
+                raw += c.encode(wrong)
+            except UnicodeEncodeError:
+                if "\x80" <= c <= "\x9f":
+                    raw.append(ord(c))
+                else:
+                    bad += 1
+        if bad > 0.1 * len(text):
+            continue
+        for right in WRITTEN_IN:
+            if right == wrong:
+                continue
+            out = bytes(raw).decode(right, "ignore")
+            # a lost byte takes its whole character along in UTF-8
+            if len(out.encode(right, "ignore")) < (0.6 if right == "utf-8" else 0.9) * len(raw):
+                continue
+            if again and right == "utf-8" and sum(c in "ÃÂÐÑÎÏØÙâãåæçäéèêëìíïà" for c in out) > 0.1 * len(out):
+                deeper = readable(out, again - 1)
+                if deeper:
+                    return deeper
+            k = np.bincount(script_of[np.frombuffer(out.encode("utf-32-le"), np.uint32)], minlength=len(SCRIPTS))[1:]
+            if not k.sum() or k[1:].max() + (k[SCRIPTS.index("Han") - 1] if k[1:].argmax() + 1 == SCRIPTS.index("Japanese") - 1 else 0) < 0.6 * k.sum() or k[0] > 0.1 * k.sum():
+                continue
+            if right == "utf-8":
+                return out
+            small = sum(c.isalpha() and not c.isupper() for c in out) / len(text)
+            common = sum("\u3040" <= c <= "\u30ff" or "\uac00" <= c <= "\ud7a3" for c in out) - sum("\uff61" <= c <= "\uff9f" for c in out)
+            if right == "euc_kr" and k[SCRIPTS.index("Hangul") - 1] < 0.95 * k.sum():
+                continue
+            score = small + common / max(1, len(out))
+            if best is None or score > best[0]:
+                best = (score, out)
+    return best[1] if best else None
+
+
 def train(rows: list[tuple[str, str]], scripts: dict[str, str]) -> Profiles:
     """Profiles from (language, text) rows; ``scripts``: the script of each language."""
     shared = {s for s in ("Latin", "Cyrillic")}
@@ -327,6 +384,12 @@ def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
                 part = batch.slice(k, 400)
                 texts = [t or "" for t in part.column(3).to_pylist()]
                 total, sure, s = p.classify(texts)
+                lost = np.bincount(s["rec"], s["lost"], len(texts))
+                spoilt = np.flatnonzero(lost > total.sum(1))
+                if len(spoilt):
+                    for r in spoilt:
+                        texts[r] = readable(texts[r]) or texts[r]
+                    total, sure, s = p.classify(texts)
                 letters = total.sum(1).astype(int)
                 langs = [[{"lang": p.names[j], "letters": int(t[j]), "confidence": round(float(c[j]), 6)} for j in np.argsort(-t, kind="stable") if t[j] > 0] for t, c in zip(total, sure)]
                 foreign = [[] for _ in texts]
