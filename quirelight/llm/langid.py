@@ -290,6 +290,10 @@ def readable(text: str, again: int = 2) -> str | None:
                 return out
             small = sum(c.isalpha() and not c.isupper() for c in out) / len(text)
             common = sum("\u3040" <= c <= "\u30ff" or "\uac00" <= c <= "\ud7a3" for c in out) - sum("\uff61" <= c <= "\uff9f" for c in out)
+            if right == "cp874":  # Thai signs above and below stand on consonants or one another
+                signs = [i for i, c in enumerate(out) if c == "\u0e31" or "\u0e34" <= c <= "\u0e3a" or "\u0e47" <= c <= "\u0e4e"]
+                if sum(i > 0 and ("\u0e01" <= out[i - 1] <= "\u0e2e" or "\u0e31" <= out[i - 1] <= "\u0e4e") for i in signs) < 0.9 * len(signs):
+                    continue
             if right == "euc_kr" and k[SCRIPTS.index("Hangul") - 1] < 0.95 * k.sum():
                 continue
             score = small + common / max(1, len(out))
