@@ -103,7 +103,7 @@ def ngram_codes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     c = code.astype(np.int64)
     b = np.concatenate([[0], c[:-1]])
-    a = np.concatenate([[0, 0], c[:-2]])
+    a = np.concatenate([[0, 0], c])[: len(c)]
     one = np.where(c > 0, c, -1)
     two = np.where((c > 0) | (b > 0), b << 8 | c, -1)
     three = np.where((b > 0) & ((a > 0) | (c > 0)), a << 16 | b << 8 | c, -1)
@@ -134,7 +134,7 @@ class Profiles:
         """Mean out-of-place distance of each segment to each profile; ``PROFILE`` for empty segments."""
         c = code.astype(np.int64)
         b = np.concatenate([[0], c[:-1]])
-        a = np.concatenate([[0, 0], c[:-2]])
+        a = np.concatenate([[0, 0], c])[: len(c)]
         ids, segs = [], []
         two, three = b << 8 | c, a << 16 | b << 8 | c
         for table, key, ok in ((self.index[0], c, None), (self.index[1], two, None), (self.index[2], three, b > 0)):
@@ -181,7 +181,7 @@ class Profiles:
         if greek.any():  # a Greek letter alone among others is a sign or wrongly decoded
             script = np.where(greek & ~np.append(greek[1:], False) & ~np.append(False, greek[:-1]), 0, script)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        nxt, nxt2 = np.append(role[1:], 0), np.append(role[2:], [0, 0])
+        nxt, nxt2 = np.append(role, 0)[1:], np.append(role, [0, 0])[2:]
         stop = (role == 2) | (role == 1) & ((nxt == 4) & (np.append(script[1:], 0) != 0) | (nxt == 3) & (nxt2 == 4))
         seg = np.concatenate([[0], np.cumsum(stop[:-1])])
         n = int(seg[-1]) + 1
@@ -290,6 +290,8 @@ def readable(text: str, again: int = 2) -> str | None:
                 return out
             small = sum(c.isalpha() and not c.isupper() for c in out) / len(text)
             common = sum("\u3040" <= c <= "\u30ff" or "\uac00" <= c <= "\ud7a3" for c in out) - sum("\uff61" <= c <= "\uff9f" for c in out)
+            if right in ("cp1251", "koi8_u", "cp1253", "cp1256") and k.sum() < 0.8 * len("".join(out.split())):
+                continue  # signs among the letters
             if right == "cp874":  # Thai signs above and below stand on consonants or one another
                 signs = [i for i, c in enumerate(out) if c == "\u0e31" or "\u0e34" <= c <= "\u0e3a" or "\u0e47" <= c <= "\u0e4e"]
                 if sum(i > 0 and ("\u0e01" <= out[i - 1] <= "\u0e2e" or "\u0e31" <= out[i - 1] <= "\u0e4e") for i in signs) < 0.9 * len(signs):
@@ -391,9 +393,8 @@ def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
                 lost = np.bincount(s["rec"], s["lost"], len(texts))
                 spoilt = np.flatnonzero(lost > total.sum(1))
                 if len(spoilt):
-                    for r in spoilt:
-                        texts[r] = readable(texts[r]) or texts[r]
-                    total, sure, s = p.classify(texts)
+                    total[spoilt], sure[spoilt], _ = p.classify([readable(texts[r]) or "" for r in spoilt])
+                    s["lang"][np.isin(s["rec"], spoilt)] = -1
                 letters = total.sum(1).astype(int)
                 langs = [[{"lang": p.names[j], "letters": int(t[j]), "confidence": round(float(c[j]), 6)} for j in np.argsort(-t, kind="stable") if t[j] > 0] for t, c in zip(total, sure)]
                 foreign = [[] for _ in texts]

@@ -73,6 +73,13 @@ def test_languages_of_nothing(make):
     assert ("document", "1", "en") in rows(langid.found(long, make("zones"), make("language_codes", CODES)))
 
 
+def test_garbled_texts_have_a_language(make):
+    docs = [{"doc_id": i, "text": t, "lang": k} for i, (k, t) in enumerate([*TEXTS.items()] * 3)]
+    docs += [{"doc_id": 200, "text": TEXTS["ru"].encode().decode("cp1252", "replace"), "lang": "en"}, {"doc_id": 201, "text": TEXTS["uk"].encode("cp1251").decode("latin-1"), "lang": None}, {"doc_id": 202, "text": "\x93\x81"*30, "lang": None}, {"doc_id": 203, "text": "Ã" * 40, "lang": None}]
+    assert rows(langid.found(make("documents", docs), make("zones"), make("language_codes", CODES))) == {("document", "200", "ru"), ("document", "201", "uk")}
+    assert langid.readable("naïve café") is None and langid.readable("") is None
+
+
 # ---- 3
 
 def line(i, text, **kw):
