@@ -14,7 +14,7 @@ def zone(i, box=(0, 0, 10, 10), **kw):
     return {"zone_id": i, "doc_id": 1, "page": 1, "tag": "p", "text": "t", "level": 0, "serial": 1, "created_order": 1, **dict(zip(BOX, map(float, box))), **kw}
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def zones(make):
     return make(
         "zones",
@@ -38,9 +38,9 @@ def test_joins(spark, zones):
     assert ("z5", "WRONG_LEVEL") in run("validate_hierarchy") and ("z3", "OK") in run("validate_hierarchy")
 
 
-@pytest.mark.parametrize("name", sorted(R.OPERATORS))
-def test_same_as_sql(spark, make, zones, name):
-    """Every operator on a small fixture with nulls and repeated rows, and on empty tables."""
+@pytest.fixture(scope="module")
+def tables(spark, make, zones):
+    """Small tables with nulls and repeated rows, the same in DuckDB, and empty ones."""
     lines = make("line_features", [{"line_id": i, "doc_id": 1 + i % 2, "page": 1, "block_no": i // 3, "line_no": i, "x0": 10.0 * (i % 2), "y0": 12.0 * i, "x1": 90.0, "y1": 12.0 * i + 10, "text": t, "font_size": 9.0 + (i == 0) * 4, "bold": i == 0, "italic": False, "caps_ratio": 0.1, "source": "OCR"} for i, t in enumerate(["Title Here", "some text that goes on", "and ends.", None, "", "12", "l3", "x" * 5000, "well-", "known end"])])
     tokens = make("pdf_tokens", [{"token_id": i, "doc_id": 1, "page": 1, "paragraph": 0, "token_index": i, "text": t, "x0": 20.0 * i, "x1": 20.0 * i + 12, "y0": 1.0, "y1": 9.0, "token_kind": "word"} for i, t in enumerate(["a", "b", None, "b", "c"])])
     other = make("xhtml_tokens", [{"token_id": i, "doc_id": 1, "pdf_token_id": p, "text": t} for i, (p, t) in enumerate([(0, "a"), (1, "x"), (99, "y"), (None, "z")])])
@@ -51,13 +51,20 @@ def test_same_as_sql(spark, make, zones, name):
     con = duckdb.connect()
     for n, t in tables.items():
         con.register(n, t.toArrow())
+    tables = {n: t.cache() for n, t in tables.items()}
+    return tables, con, {n: spark.createDataFrame([], t.schema) for n, t in tables.items()}
+
+
+@pytest.mark.parametrize("name", sorted(R.OPERATORS))
+def test_same_as_sql(spark, tables, name):
+    tables, con, empty = tables
     got = R.run(spark, name, tables.get)
     cols = sorted(got.columns)
     norm = lambda v: round(v, 6) if isinstance(v, float) else list(map(str, v)) if isinstance(v, (list, tuple)) else v
     have = sorted((tuple(norm(v) for v in r) for r in got.select(*cols).collect()), key=repr)
     want = sorted((tuple(norm(v) for v in r) for r in con.sql(f"SELECT {', '.join(cols)} FROM ({R.check_sql(name)})").fetchall()), key=repr)
     assert have == want
-    R.run(spark, name, lambda t: tables[t].limit(0)).collect()
+    R.run(spark, name, empty.get).collect()
 
 
 def test_layout(spark):
