@@ -17,7 +17,8 @@ aggregate; a second round leaves out residuals above ``OUTLIER`` grades (raters
 err). The level is the nearest grade, 1 to 5.
 
 A document is wholly English if no sentence of it is foreign: one with
-``MIN_FOREIGN`` letters of which less than ``ENGLISH`` are in English words.
+``MIN_FOREIGN`` letters and ``MIN_WORDS`` words of which less than ``ENGLISH`` of the
+letters are in English words, or with ``MIN_FOREIGN_OTHER`` letters of another script.
 
 Defined cases: null, empty and non-English texts have a null level; a document
 without a full sentence is read as one; without labels every level is null; repeated
@@ -40,7 +41,7 @@ from quirelight.runtime import staged
 
 VOCABULARY = 1 << 16
 SHARES = (0.5, 0.65, 0.8)
-OUTLIER, ENGLISH, MIN_FOREIGN, MIN_FOREIGN_OTHER = 1.0, 0.4, 16, 8
+OUTLIER, ENGLISH, MIN_FOREIGN, MIN_WORDS, MIN_FOREIGN_OTHER = 1.0, 0.4, 16, 5, 8
 FEATURES = ("cover_50", "cover_65", "cover_80", "sentence", "letters")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _STOP = re.compile(r"[.!?…。！？।][\"”’»“)]*(?=\s|$|[^\s\w.,;:)])|[。！？।]|\n")
@@ -102,7 +103,9 @@ def measures(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
             own = [rank.get(w.lower(), last) for w in words]
             letters = sum(map(len, words))
             english = sum(len(w) for w, r in zip(words, own) if r < last)
-            if english < ENGLISH * letters and letters >= (MIN_FOREIGN if max(map(max, words)) < "Ͱ" else MIN_FOREIGN_OTHER):
+            if sum(len(w) for w in words if max(w) >= "Ͱ") >= MIN_FOREIGN_OTHER:
+                return None
+            if english < ENGLISH * letters and letters >= MIN_FOREIGN and len(words) >= MIN_WORDS:
                 return None
             if len(words) >= 3 and _ENDED.search(part):
                 ranks += own
