@@ -103,7 +103,7 @@ def measures(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
             own = [rank.get(w.lower(), last) for w in words]
             letters = sum(map(len, words))
             english = sum(len(w) for w, r in zip(words, own) if r < last)
-            if sum(len(w) for w in words if max(w) >= "Ͱ") >= MIN_FOREIGN_OTHER:
+            if sum(len(w) for w in words if "Ͱ" <= min(w) and max(w) < "＀") >= MIN_FOREIGN_OTHER:
                 return None
             if english < ENGLISH * letters and letters >= MIN_FOREIGN and len(words) >= MIN_WORDS:
                 return None
