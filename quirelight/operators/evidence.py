@@ -377,3 +377,64 @@ def add_zone(d):
     """Where a zone of a page's first line would hang: the smallest zone around it."""
     return f"""WITH {CUR}, {LINES}, f AS (SELECT doc_id, page, line_id, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, line_id) AS k FROM ln) AS q WHERE k = 1)
         SELECT line_id, parent FROM (SELECT f.line_id, z.zone_id AS parent, row_number() OVER (PARTITION BY f.line_id ORDER BY {AREA('z')}, z.zone_id) AS k FROM f LEFT JOIN cur z ON z.doc_id = f.doc_id AND z.page = f.page AND z.x0 <= f.x0 + 2 AND z.y0 <= f.y0 + 2 AND z.x1 >= f.x1 - 2 AND z.y1 >= f.y1 - 2) AS x WHERE k = 1"""
+
+
+@operator
+def doc_frequency(d):
+    return f"WITH {CUR} SELECT tag, count(DISTINCT doc_id) AS n_docs FROM cur GROUP BY tag"
+
+
+@operator
+def element_frequency(d):
+    return f"WITH {CUR} SELECT tag, cast(count(*) AS double) / sum(count(*)) OVER () AS frequency FROM cur GROUP BY tag"
+
+
+@operator
+def order_page(d):
+    """Zones of a page in the order of their columns and places, as a new serial."""
+    return f"WITH {CUR} SELECT zone_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY coalesce(column_no, 0), y0, x0, zone_id) AS serial FROM cur"
+
+
+@operator
+def overlap_check(d):
+    """Every zone that nearly covers another of its tag on its page, or is covered by it."""
+    from quirelight.operators.relational import overlapping_zones
+
+    return f"SELECT DISTINCT z FROM (SELECT zone_a AS z FROM ({overlapping_zones(d)}) AS p UNION ALL SELECT zone_b FROM ({overlapping_zones(d)}) AS q) AS u"
+
+
+@operator
+def template_union(d):
+    half = "SELECT doc_id, tag, x1 - x0 AS w, y1 - y0 AS h FROM cur WHERE doc_id % 2 = "
+    return f"WITH {CUR} SELECT tag, count(*) AS samples FROM ({half}0 UNION ALL {half}1) AS u GROUP BY tag"
+
+
+@operator
+def text_usable(d):
+    """Pages whose text can be used as it is, and those that need OCR."""
+    return f"WITH {LINES}, p AS (SELECT doc_id, page, sum(length(text)) AS chars, sum({d.count('text', r'\p{L}')}) AS letters FROM ln GROUP BY doc_id, page) SELECT doc_id, page, coalesce(chars >= 20 AND letters >= 0.15e0 * chars, false) AS usable, NOT coalesce(chars >= 20 AND letters >= 0.15e0 * chars, false) AS needs_ocr FROM p"
+
+
+@operator
+def position_change(d):
+    return f"WITH {LINES}, o AS (SELECT line_id, x0 - lag(x0) OVER w AS dx FROM ln WINDOW w AS (PARTITION BY doc_id, page ORDER BY block_no, line_no, line_id)) SELECT line_id, dx FROM o WHERE abs(dx) > 3"
+
+
+@operator
+def alignment_change(d):
+    """Lines whose alignment differs from the line before them on the page; unknown ones aside."""
+    from quirelight.operators.relational import classify_alignment
+
+    return f"WITH al AS ({classify_alignment(d)}), l2 AS (SELECT DISTINCT line_id, doc_id, page, block_no, line_no FROM {{line_features}} WHERE line_id IS NOT NULL), o AS (SELECT al.line_id, al.alignment, lag(al.alignment) OVER (PARTITION BY l2.doc_id, l2.page ORDER BY l2.block_no, l2.line_no, l2.line_id) AS before FROM al JOIN l2 ON l2.line_id = al.line_id) SELECT line_id, before, alignment FROM o WHERE before <> alignment AND before <> 'UNKNOWN' AND alignment <> 'UNKNOWN'"
+
+
+@operator
+def zone_chars(d):
+    """Characters of the lines whose centre lies in a zone."""
+    return f"""WITH {CUR}, {LINES} SELECT z.zone_id, count(*) AS n_lines, sum(length(l.text)) AS chars FROM cur z JOIN ln l ON z.doc_id = l.doc_id AND z.page = l.page AND (l.x0 + l.x1) / 2 BETWEEN z.x0 - 1 AND z.x1 + 1 AND (l.y0 + l.y1) / 2 BETWEEN z.y0 - 1 AND z.y1 + 1 GROUP BY z.zone_id"""
+
+
+@operator
+def boxes(d):
+    """Area of each zone, and whether its parent contains it within two points."""
+    return f"""WITH {CUR} SELECT c.zone_id, {AREA('c')} AS area, coalesce(p.x0 <= c.x0 + 2 AND p.y0 <= c.y0 + 2 AND p.x1 >= c.x1 - 2 AND p.y1 >= c.y1 - 2, false) AS contained FROM cur c LEFT JOIN cur p ON {KEY('p.zone_id')} = {KEY('c.parent_id')}"""

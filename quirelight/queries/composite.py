@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelight.functions import text as T
-from quirelight.operators import align, zones
+from quirelight.operators import align, layout, zones
 from quirelight.operators.hierarchy import current_zones
 from quirelight.plans import compare
 from quirelight.runtime import table
@@ -46,7 +46,44 @@ def _tag_pairs(s, d):
     return z.join(z.select(F.col("id").alias("up"), F.col("tag").alias("parent")), "up").groupBy("parent", F.col("tag").alias("child")).agg(F.count("*").alias("n"))
 
 
+def _links(s, d):
+    """Zones that go on with the zone before them: links of one text each."""
+    from quirelight.operators import relational
+
+    m = relational.run(s, "merge_candidates", lambda t: table(s, d, t))
+    z = _current(s, d).select("zone_id")
+    return z.join(m.select("zone_id", F.col("previous_id").alias("merge_target")), "zone_id", "left")
+
+
+def _moves(s, d):
+    """Each zone moved under the first zone of its document."""
+    z = _current(s, d)
+    first = z.groupBy("doc_id").agg(F.min("zone_id").alias("new_parent"))
+    return z.join(first, "doc_id").where("zone_id <> new_parent").select("zone_id", "new_parent")
+
+
+def _figures(s, d, change):
+    """Blocks of many lines as figures: hash of the place, caption of the kind."""
+    b = table(s, d, "layout_blocks").where("n_lines >= 8").select("doc_id", "block_no", "page", "kind", "x0", "y0", "x1", "y1").distinct()
+    n = (F.col("page") * 100 + F.col("block_no")).cast("int")
+    return b.select("doc_id", n.alias("fig_no"), F.xxhash64("page", "block_no").alias("hash"), F.concat("kind", F.lit(change)).alias("caption"), (F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height")).dropDuplicates(["doc_id", "fig_no"])
+
+
+def _words(s, d):
+    return align.word_differences(align.align(*_sides(s, d)))
+
+
 QUERIES = {
+    "merge_chains": lambda s, d: zones.merge_chains(_links(s, d)),
+    "set_parent": lambda s, d: zones.set_parent(table(s, d, "zones"), _moves(s, d)),
+    "greedy_figure_match": lambda s, d: layout.figure_match(_figures(s, d, ""), _figures(s, d, " x")),
+    "merged_word": lambda s, d: _words(s, d).groupBy("doc_id").agg(F.count_if(F.col("type") == "MERGED_WORD").alias("n"), F.count("*").alias("n_all")),
+    "split_word": lambda s, d: _words(s, d).groupBy("doc_id").agg(F.count_if(F.col("type") == "SPLIT_WORD").alias("n"), F.count("*").alias("n_all")),
+    "content_diff": lambda s, d: _words(s, d).groupBy("doc_id", "type", "detail").agg(F.count("*").alias("n")),
+    "ocr_unicode_issues": lambda s, d: _words(s, d).where("detail in ('HOMOGLYPH_SUBSTITUTION', 'UNICODE_CODEPOINT_CHANGED', 'SPECIAL_CHARACTER_CHANGED')"),
+    "repeated_word": lambda s, d: compare.verify_zones(table(s, d, "zones")).where("issue = 'repeated_word'"),
+    "load_dtd": lambda s, d: dtd.rule_tables(s, DTD)["allowed_child"],
+    "dtd_queries": lambda s, d: dtd.rule_tables(s, DTD)["required_attr"],
     "direct_compare": lambda s, d: align.gap_symbols(_exact(s, d, "pdf_tokens"), _exact(s, d, "xhtml_tokens")),
     "compare_findings": lambda s, d: compare.compare(*_sides(s, d))[0],
     "compare_scores": lambda s, d: compare.compare(*_sides(s, d))[1],

@@ -56,6 +56,11 @@ ONE = {
     "odd_quotes": ("zones", "zone_id", {"odd": T.odd_quotes}),
     "page_number_merge": ("line_features", "line_id", {"position": T.page_number_merge}),
     "missing_callouts": ("zones", "zone_id", {"numbers": T.missing_callouts}),
+    "contains_ligature": ("zones", "zone_id", {"has": T.contains_ligature}),
+    "starts_caseless": ("line_features", "line_id", {"caseless": T.starts_caseless}),
+    "extract_year": ("zones", "zone_id", {"year": T.extract_year}),
+    "reference_labels": ("zones", "zone_id", {"label": T.reference_label}),
+    "image_prefix": ("pdf_tokens", "token_id", {"prefix": T.image_prefix}),
     "skippable_word": ("pdf_tokens", "token_id", {"skip": T.skippable_word}),
 }
 
