@@ -8,7 +8,8 @@ close after it, is a node of a lattice whose readings are "ends" and "goes on".
 The readings are decided by the kind of the word before (initial, abbreviation
 that never ends a sentence, one that may, number), by the first character after,
 and by what the sentence holds so far. A quotation that a speaking clause follows
-goes on.
+goes on; for scripts without case the clauses are read by verbs and shapes of
+their language (``_SPOKEN``).
 
 *Spaceless scripts*: Chinese and Japanese end at their own marks unless a particle
 or a speaking clause follows the closing quote. Thai ends where a blank follows.
@@ -68,6 +69,44 @@ _SPACED_CLOSE = re.compile(r"[   ]»")
 _TOKEN = re.compile(r"[^\s(\[«“„‚‘\"¿¡—–…,;:!?]+$")
 _INITIAL = re.compile(r"[A-ZА-ЯЁІЇЄҐΑ-Ω]\.")
 _SPEECH = re.compile(r"[A-ZÀ-ÖØ-Þ][\w’-]+ (?:[A-Z][\w’-]+ )?(\w+)")
+_QUOTES = "”»“’\"‘」』›"
+_STOPS = r"。！？…，、；：,.!?;:।॥؟،؛“”«»「」『』\""
+_W = rf"[^\s{_STOPS}]+"
+_HERE = r"\s*(?:[。！？…，、；,.!?;।॥؟،؛]|$)"
+_C = rf"[^\s{_STOPS}]"
+# What follows a closed quotation that its sentence goes on after, by script: speaking clauses, and particles that begin no sentence.
+_SPOKEN = [
+    (
+        re.compile(r"[぀-ヿ㐀-鿿]"),
+        re.compile(
+            rf"(?!{_C}*(?:[没沒]有?人|[没沒]有?[说說问問]|不[说說问問])){_C}{{0,16}}(?:(?<![小传傳学學据據听聽])[说說]|(?<![学學顾顧疑访訪质質])[问問]|[说說问問喊叫写寫答喝笑骂罵叹嘆嚷][道着著]|回答|[喊嚷]|大叫)[了道]?(?:[他她它我你您][们們]?|大家|一[句声聲])?{_HERE}"
+            rf"|[他她我你您][们們]?{_C}{{0,4}}[问問](?![题題世]){_C}{{1,8}}{_HERE}"
+            r"|的|一[词詞句声聲](?=[^一])|[这這]一?[句话話]"
+            r"|と(?!ても|ころ|き[はにの、]|きどき|なり|にかく|もかく|うとう|もに|ある|たん|りあえず|っくに)|って|を|(?:では|には)|[のはがにでもへや](?=[一-鿿ァ-ヴ々])|は、|など"
+            rf"|(?!{_C}*を){_C}{{1,14}}[はがも]{_C}{{0,10}}(?:言った|言いました|言う|尋ねた|尋ねました|たずねた|聞いた|聞きました|訊いた|問いかけた|問うた|叫んだ|叫びました|答えた|答えました|つぶやいた|呟いた|ささやいた|囁いた){_HERE}"
+        ),
+    ),
+    (
+        re.compile(r"[가-힣]"),
+        re.compile(rf"(?:이?라고|하고|하며|하면서|이?라며|이?라면서)(?![가-힣])|(?!(?:{_W} )*?{_W}(?:[을를]|[다냐라자]고) )(?:{_W} ){{1,6}}(?:물었|되물었|말했|대답했|답했|외쳤|소리쳤|속삭였|덧붙였|중얼거렸)(?:다|습니다|어요){_HERE}"),
+    ),
+    (
+        re.compile(r"[ऀ-ॿ]"),
+        re.compile(
+            rf"(?:{_W} ){{0,4}}(?:{_W})?ने (?:{_W} ){{0,6}}(?:कहा|पूछा|(?:उत्तर|जवाब) दिया|पुकारा|दोहराया)(?: था| है)?{_HERE}"
+            rf"|(?:{_W} ){{1,5}}(?:बोला|बोली|बोले|चिल्लाया|चिल्लाई|चिल्लाए|फुसफुसाया|फुसफुसाई){_HERE}|(?:का|की|के|को|में|से|नामक|वाला|वाली|वाले) "
+        ),
+    ),
+    (
+        re.compile(r"[؀-ۿ]"),
+        re.compile(rf"(?!{_W}(?: {_W})*? (?:إن|أن|إنه|إنها|أنه|أنها|بأن|عن|هل|كيف|متى|لماذا) )(?:قال|سأل|أجاب|صاح|هتف|همس|صرخ|رد|أضاف|تساءل)(?:ت|وا)?(?: {_W}){{0,7}}{_HERE}"),
+    ),
+    (
+        re.compile(r"[א-ת]"),
+        re.compile(rf"(?!{_W}(?: {_W})*? (?:כי|על|אם) )(?:(?:הוא|היא|הם) )?(?:אמר|אמרה|אמרו|שאל|שאלה|ענה|ענתה|השיב|השיבה|צעק|צעקה|לחש|לחשה|הוסיף|הוסיפה)(?: {_W}){{0,7}}{_HERE}"),
+    ),
+    (re.compile(r"[ก-๛]"), re.compile(r"[ก-๛]{0,24}?(?<!คำ)(?:ถาม|กล่าว|พูด|ตอบ|ตะโกน|เอ่ย|กระซิบ)(?!ว่า|สนอง|แทน|ถึง)")),
+]
 _EAST = re.compile(r"[぀-ヿ㐀-鿿]")
 _DIGITS = re.compile(r"[0-9]+")
 _LATE = re.compile(r"[\wऀ-ॿ฀-๛]")
@@ -96,6 +135,23 @@ def _speaking(rest: str) -> bool:
     return bool(m) and m.group(1) in SPEAKS
 
 
+def _carried(s: str, k: int, spaced: bool) -> bool:
+    """Whether the sentence that carries a quotation goes on after it, at the caseless letter ``k``."""
+    if "가" <= s[k] <= "힣" and not spaced:
+        return True
+    for script, goes_on in _SPOKEN:
+        if script.match(s, k):
+            rest = s[k : k + 160]
+            return bool(goes_on.match(rest.replace("\n", "") if script is _SPOKEN[0][0] else re.sub(r"\s+", " ", rest)))
+    return False
+
+
+def _aside(s: str, last: int, e: int) -> bool:
+    """Whether the bracket that closes at ``e`` was opened inside the sentence from ``last``."""
+    at = max(s.rfind(c, last, e) for c in "(（[")
+    return at > last and bool(_LATE.search(s, last, at))
+
+
 def _dash(s: str, k: int) -> str | None:
     """The first character after a dash at ``k``, None if there is no dash."""
     if s[k] not in "—–-":
@@ -139,12 +195,15 @@ def _ends_here(s: str, last: int, i: int, e: int, t: str, j: int, k: int) -> boo
     east = t[-1] in "。！？｡．" or t[0] == "…" and (i and _EAST.match(s[i - 1]) is not None)
     if nxt in "。！？!?.…" and not spaced:
         return False
+    quoted = closed and any(c in _QUOTES for c in s[e:j])
     if east:
-        if closed and (t[-1] in "！？" and (nxt.isalpha() or nxt.isdigit()) or nxt == "と"):
+        if quoted and _uncased(nxt) and _carried(s, k, spaced):
+            return False
+        if closed and not quoted and (nxt == "と" or t[-1] in "！？" and (nxt.isalpha() or nxt.isdigit()) and _aside(s, last, e)):
             return False
         return not (nxt.islower() and nxt.isascii() and t[-1] != "。") and nxt not in "，、,"
     if t[-1] in "।॥":
-        return True
+        return not (quoted and _uncased(nxt) and _carried(s, k, spaced))
     if t in (";", ";"):
         greek = i and "Ͱ" <= s[i - 1] <= "Ͽ"
         return bool(greek) and not nxt.islower() and (t == ";" or closed or not nxt.islower())
@@ -155,11 +214,13 @@ def _ends_here(s: str, last: int, i: int, e: int, t: str, j: int, k: int) -> boo
             return False
     if nxt.islower() or nxt in ",;:)؛،":
         return False
+    if quoted and _uncased(nxt):
+        return not _carried(s, s.index(nxt, k), spaced)
     if t[-1] != ".":
         if t[-1] == "…" and not spaced and not closed:
             return nxt.isupper()
-        if closed and any(c in "”»“’\"‘" for c in s[e:j]):
-            return not (_uncased(nxt) or nxt.isupper() and _speaking(s[k:]))
+        if quoted:
+            return not (nxt.isupper() and _speaking(s[k:]))
         return True
     if not spaced and not closed:
         if not (nxt.isupper() or _uncased(nxt)):

@@ -147,6 +147,26 @@ def test_sentence_ends(text, want):
     assert len(got) == len(want) and all(g.endswith(w) for g, w in zip(got, want)), got
 
 
+CLOSED = [
+    ("“河流一章显示不同的页码！”最初的索引没有提到别的证人。", ["页码！”", "证人。"]),
+    ("全书很重。“校样好了吗？”编辑在门\n口问。“好了。”他说。他读小说。", ["很重。", "口问。", "他说。", "小说。"]),
+    ("“快看！”1792年出了第二版。“好！”的喊声停了。", ["快看！”", "第二版。", "停了。"]),
+    ("「終わりましたか？」編集者は尋ねた。「はい！」とても古い本だ。「え？」彼女は本を聞いた。", ["尋ねた。", "はい！」", "本だ。", "え？」", "聞いた。"]),
+    ("“다 되었습니까?” 하고 편집자가 물었다. “유래를 밝힌다!” 이 책은 약 32.84kg이다. “네.” 그가 말했다.", ["물었다.", "밝힌다!”", "32.84kg이다.", "말했다."]),
+    ("“क्या यह तैयार है?” प्रकाशक ने दरवाज़े पर पूछा। रचना “बताता है!” पुरानी पांडुलिपि लाल है।", ["पूछा।", "है!”", "लाल है।"]),
+    ("«هل انتهى؟» سأل الناشر عند الباب. «نعم!» الكتاب قديم.", ["الباب.", "نعم!»", "قديم."]),
+    ("«נגמר?» שאל העורך. «כן!» הספר ישן.", ["העורך.", "כן!»", "ישן."]),
+    ("“เสร็จไหม?”เขาถาม", ["ถาม"]),
+    ("“เสร็จแล้ว!” ต้นฉบับเก่า", ["แล้ว!”", "เก่า"]),
+    ("他走了（真的吗？）又回来。（谁数过？）第二版。", ["回来。", "谁数过？）", "第二版。"]),
+]
+
+
+@pytest.mark.parametrize("text,want", CLOSED)
+def test_closed_quotes_before_caseless_letters(text, want):
+    test_sentence_ends(text, want)
+
+
 def test_sentences_of_tables(make):
     zones = make("zones", [{"zone_id": "a", "tag": "p", "text": "One here. Two\nthere.\n- 12 -\nAnd three", "saved_at": T0}, {"zone_id": "a", "tag": "p", "text": "stale.", "saved_at": None}, {"zone_id": "t", "tag": "title", "text": "No. Yes.", "saved_at": T0}, {"zone_id": "n", "tag": "p", "text": None}, {"zone_id": "w", "tag": "p", "text": "V�ase.", "saved_at": T0}])
     lines = make("line_features", [line(1, "A heading", font_size=14.0, bold=True, block_no=1), line(2, "Body text that goes on"), line(3, "to here. And it"), line(4, "Printed for subscribers only", font_size=7.5, block_no=3), line(5, "ends.", block_no=4), line(5, "ends.", block_no=4), line(6, None, block_no=5)])
