@@ -28,6 +28,7 @@ most part is classified after its encoding is undone (``readable``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.llm import sitelines
 from quirelight.operators.hierarchy import current_zones
 from quirelight.runtime import staged
 
@@ -49,8 +51,6 @@ OWN_GAP = 20.0
 MIN_SEGMENT = 16
 #: Share of non-ASCII letters above which a Latin segment is no text of any language.
 MAX_STRANGE = 0.4
-#: A line that stands in this share of all documents, and in so many, is a site line.
-SITE_SHARE, SITE_DOCS = 0.001, 5
 SCRIPTS = ("none", "Latin", "Cyrillic", "Greek", "Arabic", "Devanagari", "Hangul", "Han", "Japanese", "Thai", "other")
 _RANGES = (
     ("Latin", 0x41, 0x5A), ("Latin", 0x61, 0x7A), ("Latin", 0xAA, 0xAA), ("Latin", 0xBA, 0xBA), ("Latin", 0xC0, 0xD6), ("Latin", 0xD8, 0xF6), ("Latin", 0xF8, 0x24F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF),
@@ -366,29 +366,33 @@ def fit(documents: DataFrame, codes: DataFrame, per_label: int = PER_LABEL) -> P
     return train([(r.labelled, r.text) for r in sorted(rows, key=lambda r: r.doc_id)], scripts)
 
 
-def _key(line: str) -> int:
-    """Hash of the words in small letters of a line; digits and names left out."""
-    import xxhash
+_RUN = re.compile(r"([^\W\d_])\1{7,}")
 
-    words = [w for w in line.split() if w[:1].islower()]
-    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63) if words else 0
 
+def _without_runs(text: str) -> str:
+    """Blanks for runs of one letter, which are in no language, if other letters remain."""
+    t = _RUN.sub(lambda m: " " * len(m.group()), text)
+    return t if t is text or any(c.isalpha() for c in t) else text
 
-_SCHEMA = "rec_kind string, rec_id string, labelled string, letters bigint, langs array<struct<lang:string,letters:bigint,confidence:double>>, foreign array<struct<lang:string,letters:bigint,key:bigint>>"
+
+_SCHEMA = "rec_kind string, rec_id string, labelled string, source string, copy bigint, letters bigint, langs array<struct<lang:string,letters:bigint,confidence:double>>, foreign array<struct<lang:string,letters:bigint,line:string>>"
 
 
 def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
-    """rows (rec_kind, rec_id, labelled, text) -> languages of each record, and its foreign lines."""
+    """rows (rec_kind, rec_id, labelled, source, text) -> languages of each record, and its foreign lines.
+
+    ``copy`` is the hash of the text, the same for all copies.
+    """
     shared = df.sparkSession.sparkContext.broadcast(profiles)
     kind = pa.struct([("lang", pa.string()), ("letters", pa.int64()), ("confidence", pa.float64())])
-    part_kind = pa.struct([("lang", pa.string()), ("letters", pa.int64()), ("key", pa.int64())])
+    part_kind = pa.struct([("lang", pa.string()), ("letters", pa.int64()), ("line", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value.prepare()
         for batch in batches:
             for k in range(0, batch.num_rows, 400):
                 part = batch.slice(k, 400)
-                texts = [t or "" for t in part.column(3).to_pylist()]
+                texts = [_without_runs(t or "") for t in part.column(5).to_pylist()]
                 total, sure, s = p.classify(texts)
                 lost = np.bincount(s["rec"], s["lost"], len(texts))
                 spoilt = np.flatnonzero(lost > total.sum(1))
@@ -405,31 +409,42 @@ def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
                         r = s["rec"][q]
                         a = s["joined"].rfind("\n", s["start"][r], s["first"][q] + 1) + 1 or s["start"][r]
                         b = s["joined"].find("\n", s["first"][q] + 1, s["start"][r] + len(texts[r]))
-                        line = s["joined"][max(a, s["start"][r]) : b if b >= 0 else s["start"][r] + len(texts[r])]
-                        foreign[r].append({"lang": p.langs[s["lang"][q, j]], "letters": int(x[q]), "key": _key(line)})
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(letters, pa.int64()), pa.array(langs, pa.list_(kind)), pa.array(foreign, pa.list_(part_kind))], names=["rec_kind", "rec_id", "labelled", "letters", "langs", "foreign"])
+                        line = texts[r][max(a - s["start"][r], 0) : b - s["start"][r] if b >= 0 else None]
+                        foreign[r].append({"lang": p.langs[s["lang"][q, j]], "letters": int(x[q]), "line": line})
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(5)), pa.array(letters, pa.int64()), pa.array(langs, pa.list_(kind)), pa.array(foreign, pa.list_(part_kind))], names=["rec_kind", "rec_id", "labelled", "source", "copy", "letters", "langs", "foreign"])
 
-    return df.select("rec_kind", "rec_id", "labelled", "text").mapInArrow(run, _SCHEMA)
+    return df.select("rec_kind", "rec_id", "labelled", "source", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, _SCHEMA)
 
 
-def without_site_lines(found: DataFrame, n_docs: int, singles: list[str]) -> DataFrame:
-    """(rec_kind, rec_id, lang, letters, confidence, main): languages of each record, site lines of documents left out.
+def site_lines(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Those of the lines (source, key) that stand in a tenth of their source's documents, three at least, by the keys of problem 7.
 
-    Only the foreign lines of the corpus are counted, (line, document) pairs first.
+    All lines of the documents count, foreign there or not; copies of a text count once.
     """
-    least = max(SITE_DOCS, int(SITE_SHARE * n_docs))
-    f = found.where("rec_kind = 'document' and size(foreign) > 0").select("rec_id", F.explode("foreign").alias("f")).select("rec_id", "f.lang", "f.letters", "f.key")
-    site = f.select("rec_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
-    minus = f.join(site, "key", "left_semi").groupBy("rec_id", "lang").agg(F.sum("letters").alias("minus")).withColumn("rec_kind", F.lit("document"))
+    own = documents.where("source is not null and text <> ''").select("source", "text", F.xxhash64("text").alias("copy"))
+    sizes = own.select("source", "copy").distinct().groupBy("source").agg(F.count("*").alias("n_source"))
+    lines = own.select("source", "copy", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = lines.select("source", "copy", sitelines.line_key(F.col("line")).alias("key")).where("key is not null")
+    counts = lines.join(wanted, ["source", "key"], "left_semi").distinct().groupBy("source", "key").agg(F.count("*").alias("n"))
+    over = (F.col("n") >= sitelines.MIN_DOCS) & (F.col("n") >= F.col("n_source") * F.lit(sitelines.MIN_SHARE))
+    return counts.where(F.col("n") >= sitelines.MIN_DOCS).join(sizes, "source").where(over).select("source", "key")
+
+
+def without_site_lines(found: DataFrame, documents: DataFrame, singles: list[str]) -> DataFrame:
+    """(rec_kind, rec_id, lang, letters, confidence, main): languages of each record, site lines of documents left out."""
+    f = found.where("rec_kind = 'document' and source is not null and size(foreign) > 0").select("rec_id", "source", F.explode("foreign").alias("f"))
+    f = f.select("rec_id", "source", "f.lang", "f.letters", sitelines.line_key(F.col("f.line")).alias("key")).where("key is not null")
+    site = site_lines(f.select("source", "key").distinct(), documents)
+    minus = f.join(site, ["source", "key"], "left_semi").groupBy("rec_id", "lang").agg(F.sum("letters").alias("minus")).withColumn("rec_kind", F.lit("document"))
     rows = found.select("rec_kind", "rec_id", "labelled", F.col("letters").alias("all_letters"), F.posexplode("langs").alias("pos", "l")).select("rec_kind", "rec_id", "labelled", "all_letters", (F.col("pos") == 0).alias("main"), "l.*")
     return rows.join(minus, ["rec_kind", "rec_id", "lang"], "left").withColumn("letters", F.col("letters") - F.coalesce("minus", F.lit(0))).drop("minus").where(F.col("main") | (F.col("letters") >= F.when(F.col("lang").isin(singles), MIN_OTHER_SCRIPT).otherwise(MIN_FOREIGN)))
 
 
 def records(documents: DataFrame, zones: DataFrame, codes: DataFrame) -> DataFrame:
-    """(rec_kind, rec_id, labelled, text) of documents and of current zones with tag p, title or fn."""
-    d = documents.select(F.lit("document").alias("rec_kind"), F.col("doc_id").cast("string").alias("rec_id"), F.col("lang").alias("label"), "text").where("text <> ''")
+    """(rec_kind, rec_id, labelled, source, text) of documents and of current zones with tag p, title or fn."""
+    d = documents.select(F.lit("document").alias("rec_kind"), F.col("doc_id").cast("string").alias("rec_id"), F.col("lang").alias("label"), "source", "text").where("text <> ''")
     z = zones.where("tag in ('p', 'title', 'fn')").withColumn("label", F.col("attributes")["lang"])
-    z = current_zones(z, "tag", "label", "text").where("text <> ''").select(F.lit("zone").alias("rec_kind"), F.col("zone_id").alias("rec_id"), "label", "text")
+    z = current_zones(z, "tag", "label", "text").where("text <> ''").select(F.lit("zone").alias("rec_kind"), F.col("zone_id").alias("rec_id"), "label", F.lit(None).cast("string").alias("source"), "text")
     return labels(d.unionByName(z), codes, "label").drop("label")
 
 
@@ -437,8 +452,7 @@ def languages(documents: DataFrame, zones: DataFrame, codes: DataFrame) -> DataF
     """(rec_kind, rec_id, lang, letters, confidence, main, labelled): every language of every record."""
     p = fit(documents, codes)
     found = staged(identified(records(documents, zones, codes), p), "languages")
-    n_docs = found.where("rec_kind = 'document'").count()
-    return without_site_lines(found, n_docs, sorted(set(p.singles.values()))).where(F.col("all_letters") >= MIN_LETTERS)
+    return without_site_lines(found, documents, sorted(set(p.singles.values()))).where(F.col("all_letters") >= MIN_LETTERS)
 
 
 def cases(rows: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def letters(text) -> F.Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
+def line_key(text, min_letters: int = MIN_LETTERS) -> F.Column:
+    """128-bit hash of a line's letters, null for short lines."""
+    k = letters(text)
+    return F.when(F.length(k) >= min_letters, F.unhex(F.md5(k)))
+
+
 def keyed(lines: DataFrame, documents: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
     """(line_id, doc_id, source, key) of all lines with a source; key is null for short lines."""
     own = documents.where("source is not null").select("doc_id", "source").distinct()

@@ -67,6 +67,17 @@ def test_languages(make):
     assert got == want
 
 
+def test_second_languages_are_no_site_lines(make):
+    fr = TEXTS["fr"].split(". ")
+    docs = [{"doc_id": i, "text": f"{TEXTS[k]}\n{i}", "lang": k, "source": "b"} for i, k in enumerate([*TEXTS] * 12)]
+    docs += [{"doc_id": 100 + i, "text": TEXTS["en"] + "\n" + TEXTS["fr"], "lang": "en", "source": "s"} for i in range(12)]
+    docs += [{"doc_id": 200 + i, "text": f"{TEXTS['en']} {i}\n{fr[i % 3].upper()} {'ABCDEF'[i] * 3}", "lang": "en", "source": "s"} for i in range(6)]
+    docs += [{"doc_id": 300 + i, "text": f"{TEXTS['en']} Copy {i}\n{TEXTS['de']}", "lang": "en", "source": "t"} for i in range(5)]
+    docs += [{"doc_id": 400 + i, "text": f"{TEXTS['ru']} {i}\n" + "a" * 58, "lang": "ru", "source": "u"} for i in range(2)]
+    got = rows(langid.found(make("documents", docs), make("zones"), make("language_codes", CODES)))
+    assert got == {("document", str(i), k) for i in [*range(100, 112), *range(200, 206)] for k in ("en", "fr")}
+
+
 def test_languages_of_nothing(make):
     assert rows(langid.found(make("documents"), make("zones"), make("language_codes", CODES))) == set()
     long = make("documents", [{"doc_id": 1, "text": TEXTS["en"] * 2000, "lang": None}, *({"doc_id": 2 + i, "text": t, "lang": k} for i, (k, t) in enumerate([*TEXTS.items()] * 3))])
