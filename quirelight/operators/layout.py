@@ -7,9 +7,14 @@ means, open lists or earlier choices. A group is a page (or a document's blocks)
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quirelight.operators.hierarchy import current_zones
 
 # Markers that open a list item.
 MARKERS = (("number", re.compile(r"\s*\d+[.)]\s")), ("roman", re.compile(r"\s*[ivxlc]+[.)]\s")), ("letter", re.compile(r"\s*[A-Za-z][.)]\s")), ("bullet", re.compile(r"\s*[•*●■▪◆♦‣⁃–—-]\s")))
@@ -166,3 +171,28 @@ def figure_match(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataF
         return pd.DataFrame(out, columns=["doc_id", "fig_no", "match", "score"]).astype({"match": "Int32"})
 
     return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(one, "doc_id bigint, fig_no int, match int, score double")
+
+
+def index_hierarchy(zones: DataFrame) -> DataFrame:
+    """(zone_id, parent): for each current zone with a level, the nearest zone before it in its document with a smaller level.
+
+    Zones come sorted within their document; a task holds one stack, of the levels open at the zone.
+    """
+    cur = current_zones(zones, "doc_id", "page", "serial", "created_order", "level").where("zone_id is not null and level is not null")
+    cur = cur.select("doc_id", "page", F.coalesce("serial", F.lit(2147483647)).alias("serial"), "created_order", "zone_id", "level")
+    ordered = cur.repartition("doc_id").sortWithinPartitions("doc_id", "page", "serial", "created_order", "zone_id").select("doc_id", "zone_id", "level")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, here = [], None
+        for batch in batches:
+            ids, parents = batch.column(1), []
+            for doc, zone, level in zip(*(c.to_pylist() for c in batch.columns)):
+                if doc != here:
+                    stack, here = [], doc
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                stack.append((level, zone))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(parents, pa.string())], names=["zone_id", "parent"])
+
+    return ordered.mapInArrow(run, "zone_id string, parent string")

@@ -56,6 +56,7 @@ def _changed(s, d):
 
 
 QUERIES = {
+    "index_hierarchy": lambda s, d: layout.index_hierarchy(table(s, d, "zones")),
     "align_tokens": lambda s, d: align.align(*_sides(s, d)),
     "word_differences": lambda s, d: align.word_differences(align.align(*_sides(s, d))),
     "gap_symbols": lambda s, d: align.gap_symbols(_signs(s, d, "pdf_tokens"), _signs(s, d, "xhtml_tokens")).groupBy("doc_id", "type").agg(F.count("*").alias("n")),

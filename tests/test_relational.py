@@ -1,5 +1,7 @@
 """Relational operators on literal fixtures, and against DuckDB on small tables."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -79,3 +81,15 @@ def test_layout(spark):
     a = spark.createDataFrame([(1, 1, 255, "A map", 10.0, 5.0), (1, 2, -1, "Other", 5.0, 5.0)], fig)
     b = spark.createDataFrame([(1, 7, 254, "A map", 10.0, 5.0)], fig)
     assert {(r.fig_no, r.match) for r in L.figure_match(a, b).collect()} == {(1, 7), (2, None)}
+
+
+def test_index_hierarchy_of_any_depth(spark, make, tmp_path):
+    from quirelight.queries import queries
+
+    rnd = random.Random(5)
+    levels = {d: [0, 2, 1, 3, 70, 4, 69, 70, *(rnd.choice([0, 1, 2, 3, 5, 9, 70]) for _ in range(60))] for d in range(4)}
+    made = [zone(f"{d}-{k}", doc_id=d, level=x, serial=k) for d, xs in levels.items() for k, x in enumerate(xs)]
+    make("zones", [*made, made[5], zone("n", doc_id=1, level=None)]).write.parquet(f"{tmp_path}/zones.parquet")
+    want = {(f"{d}-{k}", next((f"{d}-{j}" for j in reversed(range(k)) if xs[j] < xs[k]), None)) for d, xs in levels.items() for k in range(len(xs))}
+    got = [tuple(r) for r in queries()["index_hierarchy"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
