@@ -4,8 +4,8 @@ A *flow* is the text of one paragraph or heading, its lines joined, furniture an
 notices left out; every end is mapped back to the stored text of its line or zone.
 
 *Spaced scripts*: each terminator, together with the quotes and brackets that
-close after it, is a node of a lattice whose readings are "ends" and "goes on".
-The readings are decided by the kind of the word before (initial, abbreviation
+close after it, is read once, from left to right, as "ends" or "goes on"; this is
+decided by the kind of the word before (initial, abbreviation
 that never ends a sentence, one that may, number), by the first character after,
 and by what the sentence holds so far. A quotation that a speaking clause follows
 goes on; for scripts without case the clauses are read by verbs and shapes of
@@ -13,8 +13,8 @@ their language (``_SPOKEN``).
 
 *Spaceless scripts*: Chinese and Japanese end at their own marks unless a particle
 or a speaking clause follows the closing quote. Thai ends where a blank follows.
-Where a line break hides whether there was a blank, the gap is read by a lattice
-of dictionary pieces counted over the whole corpus (in tables of fixed size): the
+Where a line break hides whether there was a blank, the gap is read by
+pieces of four characters counted over the whole corpus (hashed, in tables of fixed size): the
 final piece before the gap and the opening piece after it, against the piece that
 would span it.
 
