@@ -137,7 +137,7 @@ def repeated_lines(lines: DataFrame, documents: DataFrame, **kw) -> DataFrame:
 def cleaned_documents(documents: DataFrame, lines: DataFrame, **kw) -> DataFrame:
     """(doc_id, text, n_removed): documents.text without the lines of its source above the threshold.
 
-    Only documents that hold such a line are split into lines; the others pass
+    All documents are split into lines and keyed; those without such a line pass
     unchanged. A text line is compared by the same key as the stored lines.
     """
     store = store_of(lines, documents, **kw)
