@@ -316,10 +316,11 @@ def _batch(kind: str, rows: list[tuple[str, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["rec_kind", "rec_id", "end_pos"])
 
 
-def zone_ends(zones: DataFrame, gaps: Gaps, info: tuple | None) -> DataFrame:
+def zone_ends(zones: DataFrame, kinds: DataFrame, gaps: Gaps, info: tuple | None) -> DataFrame:
     """Sentence ends of current zones with tag p; with ``info`` the wrongly decoded ones are left out."""
-    furniture = scanfix.zone_lines(zones, r"\n").where("kind = 'furniture'").groupBy("zone_id").agg(F.collect_set("pos").alias("skip"))
-    p = current_zones(zones, "tag", "text").where("tag = 'p' and text <> ''").select("zone_id", "text")
+    texts = staged(scanfix.zone_texts(zones), "zones")
+    furniture = scanfix.zone_furniture(texts, kinds)
+    p = texts.where("tag = 'p'").select("zone_id", "text")
     shared = zones.sparkSession.sparkContext.broadcast((gaps, info))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,15 +348,15 @@ def zone_ends(zones: DataFrame, gaps: Gaps, info: tuple | None) -> DataFrame:
     return p.join(furniture, "zone_id", "left").select("zone_id", "text", "skip").mapInArrow(run, _OUT)
 
 
-def line_ends(lines: DataFrame, gaps: Gaps) -> DataFrame:
+def line_ends(kinds: DataFrame, gaps: Gaps) -> DataFrame:
     """Sentence ends in the lines of body text and headings.
 
     Lines come sorted within their document; a flow is given out when its paragraph
     or heading ends, so that a task holds one paragraph at a time.
     """
-    ls = scanfix.line_kinds(lines).where("text <> ''").select("doc_id", "page", "block_no", "line_no", "line_id", "kind", "text")
+    ls = kinds.where("text <> ''").select("doc_id", "page", "block_no", "line_no", "line_id", "kind", "text")
     ordered = ls.repartition("doc_id").sortWithinPartitions("doc_id", "page", "block_no", "line_no", "line_id")
-    shared = lines.sparkSession.sparkContext.broadcast(gaps)
+    shared = kinds.sparkSession.sparkContext.broadcast(gaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaps, flow, before, rows, broken = shared.value, [], None, [], False
@@ -396,4 +397,5 @@ def sentence_ends(zones: DataFrame, lines: DataFrame, pdf_tokens: DataFrame | No
     """(rec_kind, rec_id, end_pos) of every sentence end in zones with tag p and in body lines and headings."""
     gaps = learn_gaps(zones.select("text"))
     info = mojibake.table_of(mojibake.corpus(pdf_tokens, zones)) if pdf_tokens is not None else None
-    return zone_ends(zones, gaps, info).unionByName(line_ends(lines, gaps)).distinct()
+    kinds = staged(scanfix.line_kinds(lines), "kinds")
+    return zone_ends(zones, kinds, gaps, info).unionByName(line_ends(kinds, gaps)).distinct()
