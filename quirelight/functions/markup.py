@@ -8,10 +8,12 @@ in ``issues``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import escape, unescape
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>")
@@ -22,53 +24,63 @@ RANGE = "array<struct<start:int,stop:int,style:string>>"
 
 
 def parse(tagged: str | None) -> tuple[str, list[tuple[int, int, str]], list[str]]:
-    """(plain text, ranges, issues) of a tagged text."""
-    plain: list[str] = []
-    size = last = 0
-    opened: list[tuple[str, int]] = []
-    ranges: list[tuple[int, int, str]] = []
-    issues: list[str] = []
+    """(plain text, ranges, issues) of a tagged text.
+
+    The tags of each name pair up among themselves, the innermost first, whatever lies
+    between; two pairs of which each holds one tag of the other cross. A tag without a
+    partner reaches to the end of the text (opening) or counts for nothing (closing).
+    """
     tagged = tagged or ""
-    for m in [*_TAG.finditer(tagged), None]:
-        piece = unescape(tagged[last : m.start() if m else len(tagged)])
-        plain.append(piece)
-        size += len(piece)
-        if m is None:
-            break
-        last = m.end()
-        closing, name, empty = m.groups()
-        if empty:
-            continue
-        if not closing:
-            opened.append((name, size))
-            continue
-        at = max((k for k, (n, _) in enumerate(opened) if n == name), default=-1)
-        if at < 0:
-            issues.append(f"unmatched {name}")
-            continue
-        if at < len(opened) - 1:
-            issues.append(f"crossing {name}")
-        ranges.append((opened.pop(at)[1], size, name))
-    for name, start in opened:
-        issues.append(f"unclosed {name}")
-        ranges.append((start, size, name))
-    return "".join(plain), sorted(ranges, key=lambda r: (r[0], -r[1], r[2])), issues
+    cuts = [m for m in _TAG.finditer(tagged) if not m.group(3)]
+    bounds = [0, *(p for m in cuts for p in m.span()), len(tagged)]
+    texts = [unescape(re.sub(_TAG, "", tagged[a:b])) for a, b in zip(bounds[::2], bounds[1::2])]
+    before = [0, *accumulate(map(len, texts))]
+    waiting: dict[str, list[int]] = {}
+    partner: dict[int, int] = {}
+    lonely = []
+    for k, m in enumerate(cuts):
+        name = m.group(2)
+        if not m.group(1):
+            waiting.setdefault(name, []).append(k)
+        elif waiting.get(name):
+            partner[waiting[name].pop()] = k
+        else:
+            lonely.append(k)
+    never = len(cuts)
+    open_to = {**{k: never for ks in waiting.values() for k in ks}, **partner}
+    told = {k: f"unmatched {cuts[k].group(2)}" for k in lonely}
+    for a, z in partner.items():
+        if any(a < k < z < end for k, end in open_to.items()):
+            told[z] = f"crossing {cuts[a].group(2)}"
+    issues = [told[k] for k in sorted(told)] + [f"unclosed {cuts[k].group(2)}" for k in sorted(k for ks in waiting.values() for k in ks)]
+    ranges = [(before[a + 1], before[-1] if z == never else before[z + 1], cuts[a].group(2)) for a, z in open_to.items()]
+    return "".join(texts), sorted(ranges, key=lambda r: (r[0], -r[1], r[2])), issues
 
 
 def normalized(ranges: list[tuple[int, int, str]], size: int) -> list[tuple[int, int, str]]:
-    """Ranges inside [0, size), touching and overlapping ones of a style merged, empty ones dropped."""
-    out: list[tuple[int, int, str]] = []
-    for style in sorted({s for _, _, s in ranges}):
-        reach = None
-        for a, b in sorted((max(0, a), min(size, b)) for a, b, s in ranges if s == style):
-            if b <= a:
-                continue
-            if reach and a <= reach[1]:
-                reach[1] = max(reach[1], b)
-            else:
-                reach = [a, b]
-                out.append((reach, style))  # type: ignore[arg-type]
-    return sorted(((r[0], r[1], s) for r, s in out), key=lambda r: (r[0], -r[1], r[2]))
+    """What each style covers inside [0, size), as the fewest ranges, by counting how often each place is covered."""
+    out = []
+    for style in {s for _, _, s in ranges}:
+        step: Counter = Counter()
+        for a, b, s in ranges:
+            if s == style and min(b, size) > max(a, 0):
+                step[max(a, 0)] += 1
+                step[min(b, size)] -= 1
+        places = sorted(p for p, n in step.items() if n)
+        depth = list(accumulate(step[p] for p in places))
+        starts = [p for p, n, d in zip(places, [0, *depth], depth) if n == 0 and d]
+        stops = [p for p, d in zip(places, depth) if d == 0]
+        out += [(a, b, style) for a, b in zip(starts, stops)]
+    return sorted(out, key=lambda r: (r[0], -r[1], r[2]))
+
+
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges (id, size, start, stop, style) -> (id, style, start, stop): ``normalized`` as windows over a table of ranges."""
+    x = ranges.select("id", "style", F.greatest("start", F.lit(0)).alias("start"), F.least("stop", "size").alias("stop")).where("stop > start")
+    order = Window.partitionBy("id", "style").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("island", F.sum(F.when(reach >= F.col("start"), 0).otherwise(1)).over(order))
+    return x.groupBy("id", "style", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
 def build(plain: str, ranges: list[tuple[int, int, str]]) -> str:

@@ -73,3 +73,22 @@ def unicode_string(c: str) -> Column:
 
 def first_script(c: str) -> Column:
     return _udf(lambda t: script_of_name(t[0]) if t else "")(F.col(c))
+
+
+# Pairs of letters that look alike, Greek and Latin, then Cyrillic and Latin.
+CONFUSABLE = (
+    ("α", "a"), ("Α", "A"), ("β", "B"), ("Β", "B"), ("γ", "y"), ("ο", "o"), ("Ο", "O"), ("ρ", "p"), ("Ρ", "P"), ("χ", "x"), ("Χ", "X"),
+    ("κ", "k"), ("Κ", "K"), ("μ", "m"), ("μ", "u"), ("Μ", "M"), ("ν", "v"), ("Ν", "N"), ("ι", "i"), ("Ι", "I"), ("ε", "e"), ("Ε", "E"),
+    ("τ", "t"), ("Τ", "T"), ("η", "n"), ("Η", "H"), ("υ", "u"), ("Υ", "Y"), ("σ", "o"), ("Ζ", "Z"),
+    ("а", "a"), ("А", "A"), ("е", "e"), ("Е", "E"), ("о", "o"), ("О", "O"), ("р", "p"), ("Р", "P"), ("с", "c"), ("С", "C"), ("х", "x"), ("Х", "X"),
+    ("у", "y"), ("У", "Y"), ("і", "i"), ("І", "I"), ("ѕ", "s"), ("в", "b"), ("к", "k"), ("К", "K"), ("м", "m"), ("М", "M"), ("н", "h"), ("Н", "H"),
+    ("т", "t"), ("Т", "T"), ("в", "v"),
+)
+# Special characters that a change of is told from other changes.
+SPECIAL = "©®™°±≤≥≠×÷−αβγΔΩμπ§¶†‡•"
+
+
+def confusable(a, b) -> Column:
+    """Whether two characters look alike, in either order."""
+    pair = F.concat(a, b)
+    return pair.isin(*[x + y for x, y in CONFUSABLE], *[y + x for x, y in CONFUSABLE])

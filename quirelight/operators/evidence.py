@@ -30,14 +30,6 @@ def compare_chars(d):
     return f"WITH {PAIRED}, ch AS ({rows}) SELECT token_id, count(*) AS n_changed, min(i) AS first_at FROM ch WHERE c[1] <> c[2] GROUP BY token_id"
 
 
-@operator
-def is_confusable(d):
-    """Tokens that differ in look-alike letters of one pair."""
-    pairs = (("е", "e"), ("а", "a"), ("о", "o"), ("р", "p"), ("с", "c"), ("х", "x"), ("у", "y"), ("і", "i"), ("ѕ", "s"), ("ο", "o"), ("α", "a"), ("ν", "v"))
-    same = " OR ".join(f"replace(a, {d.q(u)}, {d.q(v)}) = replace(b, {d.q(u)}, {d.q(v)})" for u, v in pairs)
-    return f"WITH {PAIRED} SELECT DISTINCT token_id FROM pr WHERE a <> b AND ({same})"
-
-
 @operator
 def space_run_change(d):
     """Lines with runs of blanks that the single-spaced text of the same words doesn't have."""
@@ -274,38 +266,6 @@ def contextual_roles(d):
 
 # ---- references, names, spelling
 
-_REFS = "(VALUES (1, 'Rose J, Tuma F. The old press. J Print. 1999;12(3):45-67.'), (2, 'Roe A et al. A map of types. Boston, MA: Field Press; 1987.'), (3, 'No authors here at all'), (4, 'Kay B. Types. doi: 10.1000/x1.')) AS t(id, ref)"
-
-
-@operator
-def parse_citation(d):
-    """Year, volume, issue, pages, publisher and identifier of a reference; empty where the shape doesn't fit."""
-    tail = r"(\d{4});(\d+)(?:\(([^)]+)\))?:([A-Za-z]?\d+)-([A-Za-z]?\d+)"
-    book = r"([A-Za-z][A-Za-z ]*, [A-Z]{2}): ([A-Za-z0-9 &.-]+); ?(\d{4})"
-    return f"""SELECT id, {d.get('ref', tail, 1)} AS year, {d.get('ref', tail, 2)} AS volume, {d.get('ref', tail, 3)} AS issue, {d.get('ref', tail, 4)} AS fpage, {d.get('ref', tail, 5)} AS lpage,
-        {d.get('ref', book, 1)} AS place, {d.get('ref', book, 2)} AS publisher, {d.get('ref', book, 3)} AS book_year, {d.get('ref', '(?i)doi: *([^ ]+[^ .])', 1)} AS doi, {d.has('ref', 'et al')} AS et_al FROM {_REFS}"""
-
-
-@operator
-def citation_keeps_words(d):
-    words = d.split("ref", " ")
-    inside = d.keep(words, "w", f"instr(ref, w) = 0")
-    return f"SELECT id, {d.size(inside)} = 0 AS kept FROM {_REFS}"
-
-
-@operator
-def names(d):
-    rows = "(VALUES (1, 'James I. Wimsatt and Jane Roe'), (2, 'Roe, Jane'), (3, 'by A. B. Kay & C. Day')) AS t(id, names)"
-    parts = d.split(d.sub("names", "^by "), " and | & |;")
-    return f"SELECT id, {d.each(parts, 'p', f'CASE WHEN instr(p, {d.q(chr(44))}) > 0 THEN trim({d.get("p", "^([^,]+)", 1)}) ELSE {d.get("p", "([^ ]+)$", 1)} END')} AS surnames FROM {rows}"
-
-
-@operator
-def tokenize_names(d):
-    rows = "(VALUES ('PoemLine'), ('Para_NoIndent'), ('doc-footnote'), ('H1')) AS t(name)"
-    return f"SELECT name, {d.sort(d.each(d.all('name', '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), 'p', 'lower(p)'))} AS pieces FROM {rows}"
-
-
 @operator
 def spelling(d):
     """Words of titles, and whether the rest of the corpus lacks them."""

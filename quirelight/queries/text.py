@@ -29,7 +29,6 @@ ONE = {
     "dominant_script": ("zones", "zone_id", {"script": T.dominant_script}),
     "is_rtl": ("zones", "zone_id", {"rtl": T.is_rtl}),
     "mixed_script_words": ("pdf_tokens", "token_id", {"mixed": T.mixed_script_word}),
-    "detect_language": ("zones", "zone_id", {"lang": T.detect_language_stops}),
     "uppercase_ratio": ("line_features", "line_id", {"ratio": T.uppercase_ratio}),
     "ends_sentence": ("line_features", "line_id", {"ends": T.ends_sentence}),
     "starts_lowercase": ("line_features", "line_id", {"lower_start": T.starts_lowercase, "caseless_start": T.starts_caseless}),

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import io
 import posixpath
-import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCKS = "page_no int, block_no int, kind string, level int, list_depth int, text string, links array<string>, ids array<string>"
 # Elements of blocks, and elements whose text doesn't count.
@@ -130,32 +130,49 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page_no int, name string, html string")
 
 
-def css_rules(css: str | None) -> dict[str, dict[str, bool]]:
-    """Style flags by simple selector (element, .class, #id, or an element with either); a later rule replaces an earlier one."""
-    out: dict[str, dict[str, bool]] = {}
-    for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", css or "", flags=re.S)):
-        flags: dict[str, bool] = {}
-        for name, _, value in (x.partition(":") for x in body.lower().split(";")):
-            name, value = name.strip(), value.strip()
-            if name == "font-weight":
-                flags["bold"] = value in ("bold", "bolder") or value.isdigit() and int(value) >= 600
-            elif name == "font-style":
-                flags["italic"] = value in ("italic", "oblique")
-            elif name == "text-decoration":
-                flags["underline"] = "underline" in value
-            elif name == "vertical-align" and value in ("super", "sub"):
-                flags |= {"superscript": value == "super", "subscript": value == "sub"}
-        for s in (x.strip().lower() for x in selectors.split(",")):
-            if flags and re.fullmatch(r"[\w-]*(?:[.#][\w-]+)?", s) and s:
-                out[s] = flags
-    return out
-
-
-def element_style(rules: dict[str, dict[str, bool]], tag: str, classes: str = "", ident: str = "") -> dict[str, bool]:
-    """Flags of an element: its name's, then its classes', then its id's."""
-    keys = [tag.lower()]
-    for c in classes.lower().split():
-        keys += [f".{c}", f"{tag.lower()}.{c}"]
-    if ident:
-        keys += [f"#{ident.lower()}", f"{tag.lower()}#{ident.lower()}"]
-    return {k: v for key in keys for k, v in rules.get(key, {}).items()}
+# Properties of a style sheet, the values that set a flag, and what a property says of others.
+WEIGHTS = ("bold", "bolder", "black", "heavy", "semibold", "demibold")
+SLANTS = ("italic", "oblique")
+
+
+def css_rules(sheets: DataFrame) -> DataFrame:
+    """sheets (sheet, css) -> (sheet, selector, flags map<string,boolean>): one row for each simple selector.
+
+    A sheet is cut at its braces and semicolons; of several blocks of one selector the
+    last holds. Simple selectors are an element, a class, an id, or an element with
+    either; others and blocks without a known property are left out. Null sheets give none.
+    """
+    plain = F.regexp_replace("css", r"(?s)/\*.*?\*/", " ")
+    x = sheets.select("sheet", F.posexplode(F.split(F.lower(plain), "[}]")).alias("at", "block"))
+    x = x.select("sheet", "at", F.substring_index("block", "{", 1).alias("names"), F.split(F.element_at(F.split("block", "[{]"), -1), ";").alias("items")).where(F.size("items") > 0)
+    pair = F.transform("items", lambda i: F.struct(F.trim(F.substring_index(i, ":", 1)).alias("k"), F.trim(F.element_at(F.split(i, ":", 2), -1)).alias("v")))
+
+    def flag(name: str, prop: str, value) -> Column:
+        own = F.filter("pair", lambda p: p.k == prop)
+        return F.when(F.size(own) > 0, F.map_from_arrays(F.array(F.lit(name)), F.array(value(F.element_at(own, -1).v))))
+
+    number = lambda v: F.coalesce(v.try_cast("int") >= 600, F.lit(False))
+    raised = lambda v: v.contains("super")
+    flags = [
+        flag("bold", "font-weight", lambda v: v.isin(*WEIGHTS) | number(v)),
+        flag("italic", "font-style", lambda v: v.isin(*SLANTS)),
+        flag("underline", "text-decoration", lambda v: v.contains("underline")),
+    ]
+    moved = F.filter("pair", lambda p: (p.k == "vertical-align") & (p.v.contains("super") | p.v.contains("sub")))
+    at = F.element_at(moved, -1).v
+    flags.append(F.when(F.size(moved) > 0, F.create_map(F.lit("superscript"), raised(at), F.lit("subscript"), ~raised(at))))
+    none = F.create_map().cast("map<string,boolean>")
+    x = x.withColumn("pair", pair).select("sheet", "at", "names", F.map_concat(*[F.coalesce(f, none) for f in flags]).alias("flags")).where(F.size("flags") > 0)
+    x = x.select("sheet", "at", "flags", F.explode(F.transform(F.split("names", ","), lambda s: F.trim(s))).alias("selector")).where(F.col("selector").rlike(r"^(?=.)[\w-]*(?:[.#][\w-]+)?$"))
+    return x.groupBy("sheet", "selector").agg(F.max_by("flags", "at").alias("flags"))
+
+
+def element_styles(elements: DataFrame, rules: DataFrame) -> DataFrame:
+    """elements (sheet, id, tag, class, ident) -> (sheet, id, flags): the flags of the element's name, then of its classes, then of its ident."""
+    tag, none = F.lower("tag"), F.array().cast("array<string>")
+    classes = F.filter(F.split(F.lower(F.trim(F.coalesce("class", F.lit("")))), r"\s+"), lambda c: c != "")
+    ident = F.lower(F.trim(F.coalesce("ident", F.lit(""))))
+    keys = F.concat(F.array(tag), F.flatten(F.transform(classes, lambda c: F.array(F.concat(F.lit("."), c), F.concat(tag, F.lit("."), c)))), F.when(ident != "", F.array(F.concat(F.lit("#"), ident), F.concat(tag, F.lit("#"), ident))).otherwise(none))
+    x = elements.select("sheet", "id", F.posexplode(keys).alias("at", "selector")).join(rules, ["sheet", "selector"])
+    x = x.select("sheet", "id", "at", F.explode("flags").alias("flag", "value")).groupBy("sheet", "id", "flag").agg(F.max_by("value", "at").alias("value"))
+    return x.groupBy("sheet", "id").agg(F.map_from_entries(F.collect_list(F.struct("flag", "value"))).alias("flags"))
