@@ -149,29 +149,44 @@ def _contracted(links: DataFrame) -> DataFrame:
 def _by_joins(links: DataFrame) -> DataFrame:
     """Roots of a quotient forest of any size, by pointer doubling with joins.
 
-    A node not settled after log2(n)+1 rounds is on or below a circle; there a
-    second doubling carries the smallest id along.
+    A first doubling moves ids alone: a node that has not come to a root after
+    log2(n)+1 rounds is on or below a circle, and there a second one carries the
+    smallest id along. Paths are carried last and only by nodes that have a root, so
+    they are as long as the tree is deep, whatever that is.
     """
-    cur = staged(links.select("id", F.col("parent").alias("to"), F.col("w").alias("d"), F.col("seg").alias("path")), "jump")
-    rounds = max(1, int(np.ceil(np.log2(cur.count() + 1))) + 1)
+    up = staged(links.select("id", F.col("parent").alias("to")), "jump")
+    rounds = max(1, int(np.ceil(np.log2(up.count() + 1))) + 1)
+    for _ in range(rounds):
+        if not up.where("to is not null").take(1):
+            break
+        nxt = up.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.lit(True).alias("_k"))
+        # at a root the way ends: ``to`` becomes null one step after the root is reached
+        up = staged(up.join(nxt, "to", "left").select("id", F.when(F.col("_k"), F.col("_t")).alias("to")), "jump")
+    stuck = up.where("to is not null")
+    edge = links.where("parent is not null").select(F.col("id").alias("to"), F.col("parent").alias("_t"), F.col("low").alias("_l"))
+    on = staged(stuck.select(F.col("to").alias("id")).distinct().join(edge.withColumnRenamed("to", "id"), "id").select("id", F.col("_t").alias("to"), F.col("_l").alias("best")), "ring")
+    if on.take(1):
+        for _ in range(rounds):
+            nxt = on.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("best").alias("_l"))
+            on = staged(on.join(nxt, "to").select("id", F.col("_t").alias("to"), F.least("best", "_l").alias("best")), "ring")
+    empty = F.array().cast("array<string>")
+    circles = stuck.join(on.select(F.col("id").alias("to"), F.col("best").alias("ring")), "to").select("id", F.col("to").alias("exit"), F.lit(-1).cast("bigint").alias("steps"), empty.alias("path"), "ring")
+    cur = staged(links.join(stuck.select("id"), "id", "left_anti").select("id", F.col("parent").alias("to"), F.col("w").alias("d"), F.col("seg").alias("path")), "jump")
     for _ in range(rounds):
         nxt = cur.where("to is not null").select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("d").alias("_d"), F.col("path").alias("_p"))
         moved = F.col("_t").isNotNull()
+        if not cur.join(nxt, "to", "left_semi").take(1):
+            break
         cur = staged(
             cur.join(nxt, "to", "left").select(
-                "id", F.when(moved, F.col("_t")).otherwise(F.col("to")).alias("to"), F.when(moved, F.least(F.col("d") + F.col("_d"), F.lit(1 << 60))).otherwise(F.col("d")).alias("d"),
-                F.when(moved & (F.size("path") > 0) & (F.size("path") <= F.lit(1 << 20)), F.concat("_p", "path")).otherwise(F.col("path")).alias("path"),
+                "id", F.when(moved, F.col("_t")).otherwise(F.col("to")).alias("to"), F.when(moved, F.col("d") + F.col("_d")).otherwise(F.col("d")).alias("d"),
+                F.when(moved, F.concat("_p", "path")).otherwise(F.col("path")).alias("path"),
             ),
             "jump",
         )
-    edge = links.where("parent is not null").select(F.col("id").alias("to"), F.col("parent").alias("_t"), F.col("low").alias("_l"))
-    on = staged(cur.join(edge, "to", "left_semi").select(F.col("to").alias("id")).distinct().join(edge.withColumnRenamed("to", "id"), "id").select("id", F.col("_t").alias("to"), F.col("_l").alias("best")), "ring")
-    for _ in range(rounds):
-        nxt = on.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("best").alias("_l"))
-        on = staged(on.join(nxt, "to").select("id", F.col("_t").alias("to"), F.least("best", "_l").alias("best")), "ring")
-    low = on.select(F.col("id").alias("to"), F.col("best").alias("ring"))
-    ring = F.col("ring").isNotNull()
-    return cur.join(low, "to", "left").select("id", F.coalesce("to", "id").alias("exit"), F.when(ring, -1).otherwise(F.when(F.col("to").isNull(), 0).otherwise(F.col("d"))).alias("steps"), F.when(ring | F.col("to").isNull(), F.array().cast("array<string>")).otherwise(F.col("path")).alias("path"), "ring")
+    root = F.col("to").isNull()
+    free = cur.select("id", F.coalesce("to", "id").alias("exit"), F.when(root, 0).otherwise(F.col("d")).alias("steps"), F.when(root, empty).otherwise(F.col("path")).alias("path"), F.lit(None).cast("string").alias("ring"))
+    return free.unionByName(circles)
 
 
 def _solve(links: DataFrame, parts: int, task_rows: int, fanin: int) -> DataFrame:

@@ -79,3 +79,15 @@ def test_clear(spark):
     assert df.count() == 5
     runtime.clear(spark)
     assert runtime.staged(spark.range(3)).count() == 3
+
+
+def test_paths_by_joins(spark):
+    """Deep trees beside circles, all solved by joins: paths are whole, circles carry none."""
+    from quirelight.operators.hierarchy import _by_joins
+
+    links = [(f"a{i:04}", f"a{i - 1:04}" if i else None, 1, f"a{i - 1:04}" if i else None, [f"a{i:04}"] if i else []) for i in range(300)]
+    links += [(f"r{i}", f"r{(i + 1) % 5}", 1, f"r{(i + 1) % 5}", [f"r{i}"]) for i in range(5)] + [("t", "r3", 1, "r3", ["t"]), ("u", "t", 1, "t", ["u"])]
+    got = {r.id: r for r in _by_joins(spark.createDataFrame(links, "id string, parent string, w bigint, low string, seg array<string>")).collect()}
+    assert len(got) == len(links)
+    assert all(got[f"a{i:04}"].steps == i and got[f"a{i:04}"].exit == "a0000" and got[f"a{i:04}"].path == [f"a{k:04}" for k in range(1, i + 1)] and got[f"a{i:04}"].ring is None for i in range(300))
+    assert all(got[x].ring == "r0" and got[x].steps == -1 and got[x].path == [] for x in ("r0", "r1", "r4", "t", "u"))
