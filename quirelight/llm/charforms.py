@@ -1,9 +1,9 @@
 r"""Problem 1: one consistent form for text that looks the same.
 
-The form is one SQL expression, run by DuckDB on the Arrow batches of each
+The form is one SQL query, planned once for each task and run by DuckDB over the Arrow batches of the
 partition (one thread per task): ``nfc_normalize`` composes accents,
 ``translate`` maps single characters (width variants, radicals, look-alike
-letters), ``replace`` the ones that stand for several (ligatures, Roman
+letters), a map the ones that stand for several (ligatures, Roman
 numerals), and regular expressions remove what shows nothing and make all blanks
 one. The mappings come from the Unicode data of Python by rule, but for the
 look-alike letters, which are listed below.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import unicodedata as U
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,19 +85,32 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+ASCII_BLANKS = "[\\t\\n\\f\\r ]+"
+BLANKS = "[\\s\\pZ]+"
+
+
 @cache
-def form_sql(column: str) -> str:
-    """The SQL expression of the form of ``column``."""
+def setup_sql() -> tuple[str, ...]:
+    """What a connection needs before ``form_query``: the mapping of one character to several, and the steps as macros."""
     one, several = mappings()
-    x = f"regexp_replace({column}, {_q(invisible())}, '', 'g')"
-    x = f"nfc_normalize({x})"
-    many = x
-    for ch, to in several.items():
-        many = f"replace({many}, {_q(ch)}, {_q(to)})"
-    x = f"CASE WHEN regexp_matches({x}, {_q('[' + ''.join(several) + ']')}) THEN {many} ELSE {x} END"
-    x = f"translate({x}, {_q(''.join(one))}, {_q(''.join(one.values()))})"
-    x = f"nfc_normalize({x})"
-    return f"trim(regexp_replace({x}, '[\\s\\pZ]+', ' ', 'g'))"
+    pairs = ", ".join(f"{_q(k)}: {_q(v)}" for k, v in several.items())
+    spelt = "array_to_string(list_transform(string_split(t, ''), lambda c: coalesce(getvariable('several')[c], c)), '')"
+    return (
+        f"SET VARIABLE several = MAP {{{pairs}}}",
+        f"CREATE MACRO bare(t) AS nfc_normalize(regexp_replace(t, {_q(invisible())}, '', 'g'))",
+        f"CREATE MACRO spelt(t) AS CASE WHEN regexp_matches(t, {_q('[' + ''.join(several) + ']')}) THEN {spelt} ELSE t END",
+        f"CREATE MACRO mapped(t) AS nfc_normalize(translate(t, {_q(''.join(one))}, {_q(''.join(one.values()))}))",
+        f"CREATE MACRO closed(t) AS trim(regexp_replace(t, '{BLANKS}', ' ', 'g'))",
+    )
+
+
+def form_query(keys: str, columns: dict[str, str], source: str) -> str:
+    """A query of ``keys`` and the form of each column of ``source`` (name: expression), a step a level; ASCII texts skip the steps that leave them alone."""
+    names = list(columns)
+    sql = f"SELECT {keys}, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM {source}"
+    for step in ("bare", "spelt", "mapped"):
+        sql = f"SELECT {keys}, {', '.join(f'CASE WHEN strlen({n}) = length({n}) THEN {n} ELSE {step}({n}) END AS {n}' for n in names)} FROM ({sql})"
+    return f"SELECT {keys}, {', '.join(f'closed({n}) AS {n}' for n in names)} FROM ({sql})"
 
 
 def _decoded(column: str) -> str:
@@ -106,41 +120,51 @@ def _decoded(column: str) -> str:
 
 
 def duck(df: DataFrame, sql: str, schema: str) -> DataFrame:
-    """``sql`` over the table ``part`` in each Arrow batch of ``df``, by DuckDB inside the Python worker."""
+    """``sql`` over the table ``part`` by DuckDB inside the Python worker: one plan for each task, the Arrow batches of the partition streamed through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
+        first = next(iter(batches), None)
+        if first is None:
+            return
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         try:
-            for batch in batches:
-                con.register("part", pa.Table.from_batches([batch]))
-                yield from con.sql(sql).to_arrow_table().to_batches()
-                con.unregister("part")
+            for s in setup_sql():
+                con.execute(s)
+            con.register("part", pa.RecordBatchReader.from_batches(first.schema, chain([first], batches)))
+            yield from con.sql(sql).to_arrow_reader(20_000)
         finally:
             con.close()
 
     return df.mapInArrow(run, schema)
 
 
+def _plain(*columns: str) -> F.Column:
+    return F.concat(*columns).rlike(r"^[\x01-\x7f]*$")
+
+
 def consistent(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, form): the consistent form of each row's text."""
     kind = df.schema[id_col].dataType.simpleString()
-    return duck(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), f"SELECT id, {form_sql('t')} AS form FROM part", f"id {kind}, form string").withColumnRenamed("id", id_col)
+    return duck(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), form_query("id", {"form": "t"}, "part"), f"id {kind}, form string").withColumnRenamed("id", id_col)
 
 
 def same_look(df: DataFrame, left: str, right: str, decode: bool = False) -> DataFrame:
-    """Rows (rec_id, left, right) whose sides differ in code points and have the same form.
+    """Rows (rec_id) whose sides differ in code points and have the same form.
 
-    An empty form matches nothing: a side of invisible characters shows no text.
+    An empty form matches nothing: a side of invisible characters shows no text. Pairs of
+    which both sides are ASCII can differ in their blanks alone, which Spark decides.
     """
     a, b = (_decoded(left), _decoded(right)) if decode else (left, right)
-    sql = f"""
-        WITH s AS (SELECT rec_id, {a} AS a, {b} AS b FROM part WHERE {left} IS NOT NULL AND {right} IS NOT NULL),
-        f AS (SELECT rec_id, {form_sql("a")} AS fa, {form_sql("b")} AS fb FROM s WHERE a <> b AND a <> '' AND b <> '')
-        SELECT rec_id FROM f WHERE fa = fb AND fa <> ''
-    """
-    return duck(df.select("rec_id", left, right), sql, "rec_id bigint")
+    source = f"(SELECT rec_id, {a} AS a, {b} AS b FROM part WHERE {left} IS NOT NULL AND {right} IS NOT NULL) WHERE a <> b AND a <> '' AND b <> ''"
+    sql = f"SELECT rec_id FROM ({form_query('rec_id', {'a': 'a', 'b': 'b'}, source)}) WHERE a = b AND a <> ''"
+    rows = df.select("rec_id", left, right)
+    if decode:
+        return duck(rows, sql, "rec_id bigint")
+    closed = lambda c: F.trim(F.regexp_replace(c, ASCII_BLANKS, " "))
+    blanks = rows.where(_plain(left, right)).where((closed(left) == closed(right)) & (closed(left) != "")).select("rec_id")
+    return duck(rows.where(~_plain(left, right)), sql, "rec_id bigint").unionByName(blanks)
 
 
 def found(pdf_tokens: DataFrame, xhtml_tokens: DataFrame, differences: DataFrame) -> DataFrame:
