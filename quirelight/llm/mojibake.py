@@ -39,7 +39,7 @@ from quirelight.llm.charforms import LOOK_ALIKES
 from quirelight.operators.hierarchy import current_zones
 
 SIZE = 2048
-THETA, PRIOR = 0.5, 50.0
+THETA, PRIOR = 1.5, 50.0
 GAIN, GAIN_EDGE, GAIN_UTF8 = 3.0, 1.5, 0.5
 #: A sequence this long may be letters read as other letters; a shorter one must change its kind.
 WORD = 3
@@ -144,18 +144,6 @@ def _utf8_like():
     return re.compile("|".join(parts))
 
 
-@cache
-def _utf8_tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: whether a character can be the first, or a later one, of ``_utf8_like``."""
-    lead, tail = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
-    for enc in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250"):
-        for b in range(0x80, 0xF5):
-            ch = bytes([b]).decode(enc, "replace")
-            if ch != "�":
-                (tail if b < 0xC0 else lead)[ord(ch)] = True
-    return lead, tail
-
-
 def _codes(texts: list[str]) -> np.ndarray:
     """Classes of all characters of the texts, a blank between any two and at both ends."""
     joined = " " + " ".join(texts) + " "
@@ -265,8 +253,10 @@ class Repair:
         """The best text for UTF-8 bytes of which the C1 controls were dropped, with its gain."""
         best, found = 0.0, None
         options: list[str] = []
-        if piece[0] == "â":
-            options = ["…" + piece[2:]] if piece[1:2] == "¦" else [c + piece[1:] for c in "—“”‘’–"]
+        if piece[0] == "\xe2":  # the first byte of the signs from U+2000 on, the second (0x80) lost, and the third too if it was a control
+            kept = "\xa0" <= piece[1:2] <= "\xbf"
+            signs = [chr(0x2000 | ord(piece[1]) & 63)] if kept else [chr(0x2000 | k) for k in range(32)]
+            options = [c + piece[1 + kept :] for c in signs if U.category(c)[0] == "P"]
         elif "Ã" <= piece[0] <= "ß" and right.islower() and len(piece) == 1:
             options = [chr((ord(piece[0]) & 31) << 6 | k) for k in range(32)]
             options = [c for c in options if c.isalpha()]
@@ -325,11 +315,6 @@ class Repair:
         c = self.table[np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)]
         score = THETA - self.pmi[c[:-1], c[1:]]
         score[(c[:-1] < 0x80) & (c[1:] < 0x80)] = -1.0
-        k = self.kinds[c]
-        odd = np.flatnonzero((k[1:-1] > _QUOTE) & (k[1:-1] != _MARK) & (c[1:-1] >= 0x80) & (k[:-2] >= 2) & (k[:-2] <= _LETTER) & (k[2:] >= 2) & (k[2:] <= _LETTER))
-        score[odd] = score[odd + 1] = 1.0  # a symbol inside a word
-        for m in _utf8_like().finditer(text):
-            score[m.start() : m.end() + 1] = 1.0
         if not (score > 0).any():
             return []
         out = []
@@ -351,15 +336,9 @@ class Repair:
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         c = self.table[cp]
         high = c >= 0x80
-        k = self.kinds[c]
-        word = (k >= 2) & (k <= _LETTER)
         hot = np.zeros(len(cp), bool)
         at = np.flatnonzero(high[:-1] | high[1:])
         hot[at] = self.pmi[c[at], c[at + 1]] < THETA
-        hot[1:-1] |= high[1:-1] & (k[1:-1] > _QUOTE) & (k[1:-1] != _MARK) & word[:-2] & word[2:]
-        both = np.flatnonzero((cp[:-1] >= 0x80) & (cp[1:] >= 0x80))
-        lead, tail = _utf8_tables()
-        hot[both] |= lead[cp[both]] & tail[cp[both + 1]]
         # texts i covers positions ends[i-1]..ends[i]: its own characters and the blanks beside it
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         where = np.flatnonzero(hot)
