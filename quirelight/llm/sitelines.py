@@ -31,7 +31,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.runtime import shared_dir
+from quirelight.runtime import staged, staging
 
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 15, 3, 0.1
 
@@ -58,7 +58,7 @@ class LineStore:
     """The per-source line counts, in versions; a version is complete before it is used."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE):
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{staging(spark)}/lines-{uuid.uuid4().hex}"
         self.min_docs, self.min_share, self.version = min_docs, min_share, 0
 
     def _read(self, name: str, version: int, schema: str) -> DataFrame:
@@ -105,6 +105,23 @@ class LineStore:
         both = now.join(was, ["source", "key"], "full_outer")
         return both.where("now is null or was is null").select("source", "key", F.coalesce("now", F.lit(False)).alias("now"))
 
+    def index(self, documents: DataFrame) -> None:
+        """Keep where the lines of documents.text stand: (source, key, doc_id, pos), once for each text."""
+        t = documents.where("source is not null and text is not null").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        t.select("source", line_key(F.col("line")).alias("key"), "doc_id", "pos").where("key is not null").write.parquet(f"{self.path}/texts")
+
+    def places(self) -> DataFrame:
+        return self.spark.read.schema("source string, key binary, doc_id bigint, pos int").parquet(f"{self.path}/texts")
+
+    def drops(self, of: DataFrame | None = None) -> DataFrame:
+        """(doc_id, drop): places of the lines above the threshold now, in all texts or in the documents ``of``."""
+        at = self.places() if of is None else self.places().join(of, "doc_id", "left_semi")
+        return at.join(self.crossed(), ["source", "key"], "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+
+    def texts_to_rebuild(self) -> DataFrame:
+        """(doc_id): documents whose text holds a line whose state the last merge changed."""
+        return self.places().join(self.changed(), ["source", "key"], "left_semi").select("doc_id").distinct()
+
     def to_rebuild(self) -> DataFrame:
         """(doc_id): documents with a line whose state the last merge changed."""
         return self.members().join(self.changed(), ["source", "key"], "left_semi").select("doc_id").distinct()
@@ -137,16 +154,22 @@ def repeated_lines(lines: DataFrame, documents: DataFrame, **kw) -> DataFrame:
 def cleaned_documents(documents: DataFrame, lines: DataFrame, **kw) -> DataFrame:
     """(doc_id, text, n_removed): documents.text without the lines of its source above the threshold.
 
-    All documents are split into lines and keyed; those without such a line pass
-    unchanged. A text line is compared by the same key as the stored lines.
+    The texts' lines are indexed by source and key once. The first load of lines names the
+    documents to rebuild; each later one renews only those whose text holds a
+    line that crossed the threshold in it. Documents never named pass
+    unchanged and unsplit. A text line is compared by the same key as the stored lines.
     """
-    store = store_of(lines, documents, **kw)
-    crossed = store.crossed()
-    rows = documents.select("doc_id", "source", "text").where("source is not null and text is not null")
-    cut = rows.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    cut = cut.withColumn("_k", letters(F.col("line")))
-    hit = cut.where(F.length("_k") >= MIN_LETTERS).select("doc_id", "source", "pos", F.unhex(F.md5("_k")).alias("key"))
-    hit = hit.join(crossed, ["source", "key"], "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("_drop"))
-    keep = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("_drop", x.i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda x: x.t), "\n"))
-    return documents.select("doc_id", "text").join(hit, "doc_id", "left").select("doc_id", text.alias("text"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_removed"))
+    store = LineStore(lines.sparkSession, **kw)
+    store.index(documents)
+    state = None
+    for d in deltas(lines):
+        store.merge(keyed(d, documents).drop("line_id"))
+        if state is None:
+            state = staged(store.drops(), "drops")
+        else:
+            again = staged(store.texts_to_rebuild(), "rebuild")
+            state = staged(state.join(again, "doc_id", "left_anti").unionByName(store.drops(again)), "drops")
+    x = documents.select("doc_id", "text").join(state, "doc_id", "left")
+    keep = F.filter(F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda t: ~F.array_contains("drop", t.i))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda t: t.t), "\n"))
+    return x.select("doc_id", text.alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed"))
