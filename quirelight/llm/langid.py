@@ -9,8 +9,10 @@ the final ones; a label whose lines are as near to another profile gets none.
 *Classification* of a segment (a sentence, roughly): its ``TOP`` most frequent
 n-grams are ranked, and the out-of-place distance to each profile of its script
 is the mean of |rank - profile rank|, ``PROFILE`` for a missing n-gram. Scripts of
-one language are decided by their letters alone, Chinese and Japanese by the share
-of kana. All texts of an Arrow batch are handled together in numpy arrays.
+one language are decided by their letters alone; Chinese and Japanese by runs of segments
+with and without kana, short runs going with their record. All texts of an Arrow batch are handled together in numpy arrays.
+
+``segments`` gives the passages of each record with language and confidence.
 
 The language with most letters is the record's; a segment changes it only if its
 own language is nearer by ``FOREIGN_MARGIN``. A further language counts with
@@ -42,11 +44,15 @@ from quirelight.operators.hierarchy import current_zones
 from quirelight.runtime import staged
 
 PER_LABEL, PROFILE, TOP = 300, 400, 300
+#: Longest text of the sample for the profiles.
+SAMPLE_CHARS = 20_000
 MARGIN, FOREIGN_MARGIN, MIN_LETTERS, MIN_FOREIGN = 12.0, 40.0, 20, 18
 #: The same where the script alone tells the language.
 MIN_OTHER_SCRIPT = 8
 #: How much nearer a language's lines must be to its own profile than to any other (median).
 OWN_GAP = 20.0
+#: Share of kana in a Japanese segment; letters of a run of Chinese or Japanese segments that has a language of its own.
+KANA, MIN_PASSAGE = 0.05, 40
 #: Letters that a segment needs to be told from the languages of its own script.
 MIN_SEGMENT = 16
 #: Share of non-ASCII letters above which a Latin segment is no text of any language.
@@ -121,7 +127,7 @@ class Profiles:
         if not hasattr(self, "index"):
             every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
             self.size = len(every)
-            self.index = [np.full(256, -1, np.int16), np.full(1 << 16, -1, np.int16), np.full(1 << 24, -1, np.int16)]
+            self.index = [np.full(256, -1, np.int32), np.full(1 << 16, -1, np.int32), np.full(1 << 24, -1, np.int32)]
             for k, g in enumerate(every.tolist()):
                 self.index[2 if g >> 25 else 1 if g >> 24 else 0][g & 0xFFFFFF] = k
             self.rank = np.full((len(every), len(self.langs)), PROFILE, np.int16)
@@ -150,7 +156,7 @@ class Profiles:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
         s, g = key[first] // self.size, key[first] % self.size
-        order = np.argsort(s << 36 | (0xFFFF - np.minimum(count, 0xFFFF)) << 20 | g)
+        order = np.lexsort((g, -count, s))
         s, g = s[order], g[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         rank = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
@@ -194,6 +200,61 @@ class Profiles:
         letters[strange, 1] = 0
         return {"rec": np.searchsorted(ends, first, side="right"), "first": first, "last": np.append(first[1:], len(cp)), "letters": letters, "lost": lost, "dist": self.distances(code, seg, n), "joined": joined, "start": ends - np.array([len(t) + 1 for t in texts])}
 
+    def passages_of(self, texts: list[str]) -> dict[str, list]:
+        """Passages of all texts: record, start, stop, language, confidence, in order."""
+        texts = [_without_runs(t) for t in texts]
+        _, _, s = self.classify(texts)
+        letters, rec = s["letters"], s["rec"]
+        col = {x: k for k, x in enumerate(self.names)}
+        # by segment: the language of most of its letters, and the weight of that choice
+        score = np.zeros((len(rec), len(self.names)))
+        sure = np.zeros((len(rec), len(self.names)))
+        for name, lang in self.singles.items():
+            if name not in ("Han", "Japanese"):
+                score[:, col[lang]] += letters[:, SCRIPTS.index(name)]
+                sure[:, col[lang]] += letters[:, SCRIPTS.index(name)]
+        use = np.flatnonzero(s["east"] >= 0)
+        x = letters[:, SCRIPTS.index("Han")] + letters[:, SCRIPTS.index("Japanese")]
+        score[use, s["east"][use]] += x[use]
+        sure[use, s["east"][use]] += x[use]
+        for j, name in enumerate(("Latin", "Cyrillic")):
+            use = np.flatnonzero(s["lang"][:, j] >= 0)
+            x = letters[use, SCRIPTS.index(name)]
+            score[use, s["lang"][use, j]] += x
+            sure[use, s["lang"][use, j]] += x * np.minimum(1.0, (s["margin"][use, j] + MARGIN) / (5 * MARGIN))
+        best = np.where(score.any(1), score.argmax(1), -1)
+        held = np.arange(len(rec))
+        held[(best < 0) & np.concatenate([[False], rec[1:] == rec[:-1]])] = 0
+        held = np.maximum.accumulate(held)  # a segment without letters goes with what is before it
+        best = best[held]
+        first = np.concatenate([[True], (rec[1:] != rec[:-1]) | (best[1:] != best[:-1])])
+        run = np.cumsum(first) - 1
+        n = np.bincount(run, score.sum(1))
+        good = np.bincount(run, sure[np.arange(len(rec)), np.maximum(best, 0)])
+        at = np.flatnonzero(first)
+        keep = (best[at] >= 0) & (rec[at] < len(texts))
+        ends = s["start"] + np.array([len(t) for t in texts])
+        start = np.maximum(s["first"][at], s["start"][np.minimum(rec[at], len(texts) - 1)]) - s["start"][np.minimum(rec[at], len(texts) - 1)]
+        stop = np.minimum(s["last"][np.append(at[1:], len(rec)) - 1], ends[np.minimum(rec[at], len(texts) - 1)]) - s["start"][np.minimum(rec[at], len(texts) - 1)]
+        keep &= stop > start
+        return {"rec": rec[at][keep].tolist(), "start": start[keep].tolist(), "stop": stop[keep].tolist(), "lang": [self.names[k] for k in best[at][keep]], "confidence": np.round(good[keep] / np.maximum(n[keep], 1), 6).tolist()}
+
+    @staticmethod
+    def passages(rec: np.ndarray, size: np.ndarray, kana: np.ndarray) -> np.ndarray:
+        """For each segment 1 (Japanese) or 0 (Chinese), by the run of segments of one kind that it stands in; -1 where the run is short.
+
+        Hardly a Japanese sentence has no kana, and no Chinese one has any, so neighbouring
+        segments with and without kana make up the passages of a text.
+        """
+        out = np.full(len(rec), -1)
+        use = np.flatnonzero(size > 0)
+        if len(use):
+            new = np.concatenate([[True], (rec[use][1:] != rec[use][:-1]) | (kana[use][1:] != kana[use][:-1])])
+            run = np.cumsum(new) - 1
+            long = np.bincount(run, size[use]) >= MIN_PASSAGE
+            out[use] = np.where(long[run], kana[use].astype(int), -1)
+        return out
+
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict]:
         """(letters of each record by language, confidence by language, segments with their languages)."""
         s = self.segments(texts)
@@ -207,11 +268,19 @@ class Profiles:
             x = np.bincount(rec, letters[:, k], n)
             total[:, col[lang]] += x
             sure[:, col[lang]] += x
+        east = np.full(len(rec), -1)
         if "zh" in col and "ja" in col:
-            han, kana = (np.bincount(rec, letters[:, SCRIPTS.index(k)], n) for k in ("Han", "Japanese"))
-            ja = kana > 0.05 * (han + kana)
-            total[:, col["ja"]] = sure[:, col["ja"]] = np.where(ja, han + kana, 0)
-            total[:, col["zh"]] = sure[:, col["zh"]] = np.where(ja, 0, han + kana)
+            han, kana = (letters[:, SCRIPTS.index(k)] for k in ("Han", "Japanese"))
+            x = han + kana
+            for k in (col["zh"], col["ja"]):
+                total[:, k] = sure[:, k] = 0
+            rank = np.bincount(rec, x * (kana > KANA * x), n) > np.bincount(rec, x, n) / 2
+            # a long passage is decided by its own kana, a short one goes with its record
+            own = self.passages(s["rec"], x, kana > 0)
+            east = np.where(x > 0, np.where(np.where(own >= 0, own == 1, rank[rec]), col["ja"], col["zh"]), -1)
+            use = x > 0
+            np.add.at(total, (rec[use], east[use]), x[use])
+            np.add.at(sure, (rec[use], east[use]), x[use])
         lang = np.full((len(rec), 2), -1)
         margin = np.zeros((len(rec), 2))
         for j, name in enumerate(("Latin", "Cyrillic")):
@@ -242,7 +311,7 @@ class Profiles:
             use = x > 0
             np.add.at(total, (rec[use], own_lang[use]), x[use])
             np.add.at(sure, (rec[use], own_lang[use]), x[use] * np.minimum(1.0, (np.where(own_lang == best, gap, 0)[use] + MARGIN) / (5 * MARGIN)))
-        s |= {"lang": lang, "margin": margin}
+        s |= {"lang": lang, "margin": margin, "east": east}
         return total, sure / np.maximum(total.sum(1), 1)[:, None], s
 
 
@@ -353,15 +422,15 @@ def labels(df: DataFrame, codes: DataFrame, label: str) -> DataFrame:
     The list of spellings is a small fixed table, one row for each spelling.
     """
     c = codes.groupBy("spelling").agg(F.min("lang_code").alias("labelled"))
-    return df.join(F.broadcast(c), F.col(label) == F.col("spelling"), "left").drop("spelling")
+    return df.join(c, F.col(label) == F.col("spelling"), "left").drop("spelling")
 
 
 def fit(documents: DataFrame, codes: DataFrame, per_label: int = PER_LABEL) -> Profiles:
-    """Profiles from a bounded sample: about ``per_label`` documents of each label, at most twice as many in all."""
+    """Profiles from a bounded sample: about ``per_label`` documents of each label of at most SAMPLE_CHARS characters, at most twice as many in all."""
     scripts = {r.lang_code: r.script for r in codes.select("lang_code", "script").distinct().collect()}
-    known = labels(documents.where("text <> ''").select("doc_id", "text", "lang"), codes, "lang").where("labelled is not null")
+    known = labels(documents.where("text <> ''").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "lang"), codes, "lang").where("labelled is not null")
     sizes = known.groupBy("labelled").agg(F.count("*").alias("n"))
-    pick = known.join(F.broadcast(sizes), "labelled").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_label << 20))
+    pick = known.join(sizes, "labelled").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_label << 20))
     rows = pick.select("doc_id", "labelled", "text").limit(2 * per_label * max(1, len(scripts))).collect()
     return train([(r.labelled, r.text) for r in sorted(rows, key=lambda r: r.doc_id)], scripts)
 
@@ -416,6 +485,30 @@ def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
     return df.select("rec_kind", "rec_id", "labelled", "source", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, _SCHEMA)
 
 
+def segments(df: DataFrame, profiles: Profiles) -> DataFrame:
+    """rows (rec_kind, rec_id, text) -> (rec_kind, rec_id, start, stop, lang, confidence): the passages of each record.
+
+    A passage is a run of neighbouring segments of one language; ``start`` and ``stop``
+    are code points, half-open, and the passages of a record cover its text. Segments
+    without letters go with what is before them. The confidence is the share of a
+    passage's letters weighted by how much nearer the language is than the next one.
+    Null and empty texts and texts without letters have no passage; a text that is garbled for
+    the most part has none either.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value.prepare()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 400):
+                part = batch.slice(k, 400)
+                rows = p.passages_of([t or "" for t in part.column(2).to_pylist()])
+                at = pa.array(rows["rec"], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(rows["start"], pa.int32()), pa.array(rows["stop"], pa.int32()), pa.array(rows["lang"], pa.string()), pa.array(rows["confidence"], pa.float64())], names=["rec_kind", "rec_id", "start", "stop", "lang", "confidence"])
+
+    return df.where("text <> ''").select("rec_kind", "rec_id", "text").mapInArrow(run, "rec_kind string, rec_id string, start int, stop int, lang string, confidence double")
+
+
 def site_lines(wanted: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of the lines (source, key) that stand in a tenth of their source's documents, three at least, by the keys of problem 7.
 

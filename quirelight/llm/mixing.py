@@ -1,23 +1,28 @@
 """Problem 9: mixing sources to target shares of all tokens.
 
-1. Tokens of each document by a public tokenizer (``encode.token_counts``).
-2. *Cells*: tokens by source, language label and document kind, one small aggregate
-   (listed sources x accepted languages x kinds) on the driver.
+1. Tokens of each document by a public tokenizer (``encode.token_counts``), its main
+   language by the profiles of problem 2, and its topic: ``doc_kind``, hashed into
+   ``TOPICS`` groups, so that free text can't make the next table large.
+2. *Cells*: tokens by source, language and topic, one aggregate of at most (listed
+   sources x listed languages x TOPICS) rows on the driver.
 3. *Raking* (iterative proportional fitting) of one weight for each cell: in turn to
-   the source targets, the languages' and the kinds' shares in the listed sources.
-   A weight is the expected number of times a document is used and never above the
+   the languages' and the topics' shares in the listed sources and to the source
+   targets. A weight is the expected number of times a document is used and never above the
    source's ``max_repeats``; what a full cell can't take, the source's other cells
    take. Sources come last in a round, so their shares are the ones that hold; a
    target beyond tokens x max_repeats can't be reached and is reported so.
-4. *Sampling*: documents are put in hash order inside buckets of about
-   ``BUCKET`` documents of their source, and used as often as the running sum of
-   the weights passes an integer. So each use count is the weight rounded up or
-   down, a bucket's total is off by less than one document, and no task sees a
-   whole source.
+4. *Sampling*: a document is used as often as the whole part of its weight says, and
+   once more by order sampling with the rest as its probability: documents stand in the order of
+   a random number by their probability, and those that the source's missing tokens
+   reach are taken. So each use count is the weight rounded up or down, and the
+   tokens of a source are those wanted but for less than one document. The order is
+   cut in ``SLICES``; one aggregate finds the slice where the tokens run out,
+   and only that slice is ranked, so no task sees a whole source.
 
 Defined cases: documents of sources without a target, or with null source, aren't
 used; empty and null texts have 0 tokens and count as documents; repeated rows of
-mix_targets count once; a listed source without documents reaches 0.
+mix_targets count once; a listed source without documents reaches 0; documents without
+a language of their own (short texts) make up the language ``und``.
 """
 
 from __future__ import annotations
@@ -26,20 +31,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelight.llm import langid
 from quirelight.llm.encode import token_counts
-from quirelight.llm.langid import labels
 from quirelight.runtime import staged
 
-ROUNDS, TOLERANCE, BUCKET = 200, 1e-7, 1000
+ROUNDS, TOLERANCE, TOPICS, SLICES = 200, 1e-7, 256, 4096
 
 
 def sized(documents: DataFrame, targets: DataFrame, codes: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, kind, n_tokens) of the documents of listed sources."""
-    listed = targets.select("source").distinct()
-    own = documents.join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "lang", F.coalesce("doc_kind", F.lit("")).alias("kind"), "text")
+    """(doc_id, source, lang, kind, n_tokens) of the documents of listed sources; kind is the topic's group."""
+    listed = targets.where("source is not null").select("source").distinct()
+    own = documents.join(listed, "source", "left_semi").select("doc_id", "source", "doc_kind", "text")
     n = token_counts(own)
-    about = labels(own.drop("text"), codes, "lang").select("doc_id", "source", F.coalesce("labelled", F.lit("und")).alias("lang"), "kind")
-    return about.join(n, "doc_id")
+    profiles = langid.fit(documents, codes)
+    records = own.where("text <> ''").select(F.lit("document").alias("rec_kind"), F.col("doc_id").cast("string").alias("rec_id"), F.lit(None).cast("string").alias("labelled"), F.lit(None).cast("string").alias("source"), "text")
+    main = langid.identified(records, profiles).where(F.col("letters") >= langid.MIN_LETTERS).select(F.col("rec_id").cast("bigint").alias("doc_id"), F.get("langs", F.lit(0))["lang"].alias("lang"))
+    about = own.select("doc_id", "source", F.pmod(F.xxhash64("doc_kind"), F.lit(TOPICS)).cast("string").alias("kind")).join(n, "doc_id")
+    return about.join(main, "doc_id", "left").select("doc_id", "source", F.coalesce("lang", F.lit("und")).alias("lang"), "kind", "n_tokens")
 
 
 def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], most: dict[str, float], total: float) -> np.ndarray:
@@ -86,20 +94,21 @@ def mix(documents: DataFrame, targets: DataFrame, codes: DataFrame, total: float
     rules = {r.source: (r.s, r.m) for r in targets.groupBy("source").agg(F.max("target_share").alias("s"), F.max("max_repeats").alias("m")).collect()}
     total = total or sum(c[3] for c in cells)
     w = rake([c[:4] for c in cells], {k: v[0] for k, v in rules.items()}, {k: v[1] for k, v in rules.items()}, total)
-    counts: dict[str, int] = {}
-    for c in cells:
-        counts[c[0]] = counts.get(c[0], 0) + c[4]
-    spark = documents.sparkSession
-    rows = [(c[0], c[1], c[2], float(x), max(1, counts[c[0]] // BUCKET)) for c, x in zip(cells, w)]
-    weights = spark.createDataFrame(rows, "source string, lang string, kind string, w double, buckets int")
-    x = docs.join(F.broadcast(weights), ["source", "lang", "kind"])
-    h = F.xxhash64("doc_id", F.lit(9))
-    x = x.withColumn("_b", F.pmod(h, F.col("buckets").cast("bigint"))).withColumn("_o", F.xxhash64("doc_id", F.lit(17)))
-    run = Window.partitionBy("source", "_b").orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_c", F.sum("w").over(run))
-    start = F.pmod(F.xxhash64("source", "_b"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    uses = F.floor(F.round(F.col("_c") + start, 9)) - F.floor(F.round(F.col("_c") - F.col("w") + start, 9))
-    return x.select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses"))
+    weights = documents.sparkSession.createDataFrame([(c[0], c[1], c[2], float(x)) for c, x in zip(cells, w)], "source string, lang string, kind string, w double")
+    x = docs.join(weights, ["source", "lang", "kind"]).withColumn("_whole", F.floor(F.col("w") + 1e-9)).withColumn("_p", F.greatest(F.col("w") - F.col("_whole"), F.lit(0.0)))
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    x = x.withColumn("_x", F.when(F.col("_p") > 1e-9, u / F.col("_p"))).withColumn("_s", F.least(F.floor(F.col("_x") * (SLICES // 2)), F.lit(SLICES - 1)))
+    slices = x.groupBy("source", "_s").agg(F.sum("n_tokens").alias("_n"), F.sum(F.col("n_tokens") * F.col("_p")).alias("_want"))
+    every, upto = Window.partitionBy("source"), Window.partitionBy("source").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.where("_s is not null").withColumn("_want", F.sum("_want").over(every)).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    state = F.when(F.col("_before") + F.col("_n") <= F.col("_want"), "in").when(F.col("_before") < F.col("_want"), "cut").otherwise("out")
+    x = x.join(slices.select("source", "_s", "_want", "_before", state.alias("_state")), ["source", "_s"], "left")
+    cut = x.where("_state = 'cut'")
+    run = Window.partitionBy("source").orderBy("_x", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.col("_before") + F.sum("n_tokens").over(run) - F.col("n_tokens") / 2.0 <= F.col("_want")
+    uses = lambda extra: (F.col("_whole") + extra.cast("int")).cast("int").alias("uses")
+    rest = x.where("_state is null or _state <> 'cut'").select("doc_id", "source", "n_tokens", uses(F.coalesce(F.col("_state") == "in", F.lit(False))))
+    return rest.unionByName(cut.select("doc_id", "source", "n_tokens", uses(here)))
 
 
 def shares(documents: DataFrame, targets: DataFrame, codes: DataFrame, total: float | None = None) -> DataFrame:

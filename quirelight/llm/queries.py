@@ -13,6 +13,7 @@ def queries() -> dict:
         "p1_xhtml_forms": lambda s, d: charforms.consistent(table(s, d, "xhtml_tokens"), "token_id"),
         "p2_found": lambda s, d: langid.found(table(s, d, "documents"), table(s, d, "zones"), table(s, d, "language_codes")),
         "p2_languages": lambda s, d: langid.languages(table(s, d, "documents"), table(s, d, "zones"), table(s, d, "language_codes")).select("rec_kind", "rec_id", "lang", "letters", "confidence"),
+        "p2_segments": lambda s, d: langid.segments(langid.records(table(s, d, "documents"), table(s, d, "zones"), table(s, d, "language_codes")), langid.fit(table(s, d, "documents"), table(s, d, "language_codes"))),
         "p3_found": lambda s, d: scanfix.defects(table(s, d, "line_features"), table(s, d, "zones")),
         "p3_paragraphs": lambda s, d: scanfix.repaired_lines(table(s, d, "line_features"), table(s, d, "zones")),
         "p5_found": lambda s, d: mojibake.found(table(s, d, "pdf_tokens"), table(s, d, "zones")),

@@ -78,6 +78,23 @@ def test_second_languages_are_no_site_lines(make):
     assert got == {("document", str(i), k) for i in [*range(100, 112), *range(200, 206)] for k in ("en", "fr")}
 
 
+def test_segments_of_mixed_texts(make):
+    docs = make("documents", [{"doc_id": i, "text": TEXTS[k], "lang": k} for i, k in enumerate([*TEXTS] * 3)])
+    codes = make("language_codes", CODES)
+    zh, ja = "旧抄本在第二卷中说明了纸张的来历，编者没有提到别的证人，印刷所也保存着城里的信件和许多旧书。", "古い写本は異なる番号を見せている。出版社は多くの誤りを含んでいる、しかし資料の目録はほかの証人を挙げていない。"
+    mixed = {
+        "a": TEXTS["en"] + "\n" + TEXTS["ru"], "b": TEXTS["fr"] + "\n" + TEXTS["de"] + "\n" + TEXTS["fr"], "c": zh + "\n" + ja, "d": TEXTS["en"], "e": "12 34", "f": "", "g": None,
+    }
+    df = make("zones", [{"zone_id": k, "text": t} for k, t in mixed.items()] * 2).selectExpr("'zone' AS rec_kind", "zone_id AS rec_id", "text").distinct()
+    got: dict = {}
+    for r in langid.segments(df, langid.fit(docs, codes)).orderBy("rec_id", "start").collect():
+        assert 0 < r.confidence <= 1
+        got.setdefault(r.rec_id, []).append((r.lang, mixed[r.rec_id][r.start : r.stop]))
+    assert {k: [x for x, _ in v] for k, v in got.items()} == {"a": ["en", "ru"], "b": ["fr", "de", "fr"], "c": ["zh", "ja"], "d": ["en"]}
+    assert all("".join(t for _, t in v) == mixed[k] for k, v in got.items())
+    assert got["a"][1][1].strip() == TEXTS["ru"] and got["c"][1][1].strip() == ja
+
+
 def test_languages_of_nothing(make):
     assert rows(langid.found(make("documents"), make("zones"), make("language_codes", CODES))) == set()
     long = make("documents", [{"doc_id": 1, "text": TEXTS["en"] * 2000, "lang": None}, *({"doc_id": 2 + i, "text": t, "lang": k} for i, (k, t) in enumerate([*TEXTS.items()] * 3))])
@@ -229,6 +246,21 @@ def test_line_store_by_deltas(spark, make):
 
 # ---- 8
 
+def test_only_named_documents_are_rebuilt(spark, make):
+    """A late load pushes a line over the threshold: its documents are renewed, the rest of the state stays."""
+    docs = make("documents", [{"doc_id": i, "source": "s", "text": f"own {i}\nShare this page with all friends\nPrinted by the house of books"} for i in range(40)])
+    rows = [line(i, "Printed by the house of books", doc_id=i) for i in range(30)] + [line(100 + i, "Share this page with all friends", doc_id=i, loaded_at=datetime(2024, 6, 1)) for i in range(3)]
+    rows += [line(200 + i, "Share this page with all friends", doc_id=30 + i, loaded_at=datetime(2024, 6, 1)) for i in range(3)]
+    lines = make("line_features", rows)
+    got = {r.doc_id: (r.text, r.n_removed) for r in sitelines.cleaned_documents(docs, lines).collect()}
+    assert got == {i: (f"own {i}", 2) for i in range(40)}
+    store = sitelines.LineStore(spark)
+    store.index(docs)
+    for part in (lines.where("line_id < 100"), lines.where("line_id >= 100")):
+        store.merge(sitelines.keyed(part, docs).drop("line_id"))
+    assert store.texts_to_rebuild().count() == 40 and store.changed().count() == 1
+
+
 def test_encoding(make):
     import public_tokenizers
     import tiktoken
@@ -288,6 +320,17 @@ def test_mixing(make):
 
 # ---- 10
 
+def test_sources_hold_their_tokens(make):
+    """Each reachable source is off its target by less than one document's tokens."""
+    docs = [{"doc_id": i, "text": "word " * (10 + 37 * i % 400), "source": "abc"[i % 3] if i % 5 else "a", "lang": "en", "doc_kind": f"k{i % 4}"} for i in range(900)]
+    targets = [{"source": s, "target_share": w, "max_repeats": 3} for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2))]
+    m = mixing.mix(make("documents", docs), make("mix_targets", targets), make("language_codes", CODES)).collect()
+    total = sum(r.n_tokens for r in m)
+    for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        assert abs(sum(r.n_tokens * r.uses for r in m if r.source == s) - w * total) <= max(r.n_tokens for r in m if r.source == s)
+    assert max(r.uses for r in m) <= 3 and len(m) == 900
+
+
 def test_reading_levels(make):
     import random
 
