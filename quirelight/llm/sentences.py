@@ -3,20 +3,26 @@
 A *flow* is the text of one paragraph or heading, its lines joined, furniture and
 notices left out; every end is mapped back to the stored text of its line or zone.
 
-*Spaced scripts*: each terminator, together with the quotes and brackets that
-close after it, is read once, from left to right, as "ends" or "goes on"; this is
-decided by the kind of the word before (initial, abbreviation
-that never ends a sentence, one that may, number), by the first character after,
-and by what the sentence holds so far. A quotation that a speaking clause follows
-goes on; for scripts without case the clauses are read by verbs and shapes of
-their language (``_SPOKEN``).
-
-*Spaceless scripts*: Chinese and Japanese end at their own marks unless a particle
-or a speaking clause follows the closing quote. Thai ends where a blank follows.
-Where a line break hides whether there was a blank, the gap is read by
-pieces of four characters counted over the whole corpus (hashed, in tables of fixed size): the
-final piece before the gap and the opening piece after it, against the piece that
-would span it.
+*Spaced scripts*: the terminators of a flow, each together with the quotes and brackets that
+close after it, are the nodes of a lattice, its edges the possible sentences between
+two of them; the best path makes the ends. A node's weight is the log odds that a sentence
+ends there: signs that settle it (a small letter, an opening word, a closing quote
+and the speaking clause after it) weigh ``SURE``, seeds (``NEVER``, ``MAY``, ``MONTHS``) as much,
+and any other word before a point weighs by the corpus: how often it stands with its
+point before a small letter, and how often before a capital (``Dots``). Weights depend on where the
+sentence began, so near predecessors are tried one by one. A sentence needs a letter or digit.
+
+*Spaceless scripts* (Chinese, Japanese, Thai): a dictionary is counted from the corpus by
+accessor variety (how many different neighbours a string has on its poorer side), and the
+word lattice of a run of letters is solved for the path of the highest weight (``Words``).
+Over the whole corpus the words before and after each gap are counted, at gaps with a blank or mark and in
+all. Chinese and Japanese end at their own marks; after a closed quote the sentence goes on before a particle, a
+speaking clause (seeds: ``_SPOKEN``) or words that the corpus never opens a sentence with. Thai ends where a blank follows. Where a line
+break hides whether there was a blank, the gap ends a sentence if no word of the
+lattice spans it and its final and opening words stand there oftener at ends than inside.
+
+Bounds: ``DICTIONARY`` words and ``FORMS`` dotted forms, the most frequent of
+the whole corpus, are all that is broadcast; rarer ones count as unknown.
 
 Defined cases: null and empty texts hold no sentence; the end of a flow ends one
 even without a mark; a flow without letters or digits holds none; repeated rows
@@ -27,7 +33,9 @@ out; lines of furniture and notices hold no ends.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.llm import mojibake, scanfix
-from quirelight.operators.hierarchy import current_zones
 from quirelight.runtime import staged
 
-# Abbreviations that a sentence doesn't end with.
+# Fixed values, seeds: abbreviations that a sentence doesn't end with.
 NEVER = set(
     "dr mr mrs ms messrs prof st co no nos vol vols p pp fig figs sect sec ch chap cf vs viz approx ca al ed eds rev hon jr gen col capt lt "
     "bd bde s abb nr vgl hrsg bzw ggf evtl zzgl inkl frl hr "
@@ -53,7 +60,7 @@ NEVER = set(
     "डॉ पृ श्री प्रो "
     "i.e e.g c.-à-d d.h z.b d.w.z o.a m.in u.a v.a п.а т.е п.э sig.ra dott.ssa p.ex z h u v w".split()
 )
-# Abbreviations that may end one.
+# Fixed values, seeds: abbreviations that may end one.
 MAY = set("etc usw ecc enz itd itp др пр тд д г р r م إلخ р.х н.э μ.χ π.χ κ.λπ p.m a.m m.e.z inc ltd bros esq".split())
 YEARS = {"г", "р", "r"}
 # Month names that a day number with a point comes before.
@@ -108,7 +115,6 @@ _SPOKEN = [
     (re.compile(r"[ก-๛]"), re.compile(r"[ก-๛]{0,24}?(?<!คำ)(?:ถาม|กล่าว|พูด|ตอบ|ตะโกน|เอ่ย|กระซิบ)(?!ว่า|สนอง|แทน|ถึง)")),
 ]
 _EAST = re.compile(r"[぀-ヿ㐀-鿿]")
-_DIGITS = re.compile(r"[0-9]+")
 _LATE = re.compile(r"[\wऀ-ॿ฀-๛]")
 
 
@@ -135,14 +141,16 @@ def _speaking(rest: str) -> bool:
     return bool(m) and m.group(1) in SPEAKS
 
 
-def _carried(s: str, k: int, spaced: bool) -> bool:
+def _carried(s: str, k: int, spaced: bool, words: Words | None = None) -> bool:
     """Whether the sentence that carries a quotation goes on after it, at the caseless letter ``k``."""
     if "가" <= s[k] <= "힣" and not spaced:
         return True
     for script, goes_on in _SPOKEN:
         if script.match(s, k):
             rest = s[k : k + 160]
-            return bool(goes_on.match(rest.replace("\n", "") if script is _SPOKEN[0][0] else re.sub(r"\s+", " ", rest)))
+            if goes_on.match(rest.replace("\n", "") if script is _SPOKEN[0][0] else re.sub(r"\s+", " ", rest)):
+                return True
+            return words is not None and script is _SPOKEN[0][0] and words.never_opens(s[k : k + 40])
     return False
 
 
@@ -161,49 +169,85 @@ def _dash(s: str, k: int) -> str | None:
     return s[k] if k < len(s) else ""
 
 
-def ends(s: str, gap_ends=None) -> list[int]:
-    """End offsets of the sentences of a flow; line breaks are blanks.
+#: Weight of a sign that settles a terminator; how far back another end changes the reading of one.
+SURE, NEAR = 6.0, 40
 
-    ``gap_ends(left, right)`` tells whether a Thai sentence ends at a line break.
-    """
+
+def ends(s: str, words: Words | None = None, dots: dict | None = None) -> list[int]:
+    """End offsets of the sentences of a flow, the best path through its terminators; line breaks are blanks."""
     stop = len(s.rstrip())
-    out: list[int] = []
-    last = 0
     found = [(m.start(), m.end(), m.group()) for m in _TERM.finditer(s)]
     if "ก" <= max(s, default="") and any("ก" <= c <= "๛" for c in s):
         found += [(m.end(1), m.end(1), "") for m in _THAI_BLANK.finditer(s)]
         for m in re.finditer(r"(?<=[ก-๛0-9])\n(?=[ก-๛])", s):
-            if gap_ends and gap_ends(s[: m.start()], s[m.end() :]):
+            if words and words.gap_ends(s[: m.start()], s[m.end() :]):
                 found.append((m.start(), m.start(), ""))
         found.sort()
+    at, best, back = [0], [0.0], [0]  # nodes: the place where a sentence may end, the weight of the best path to it, and the node before
+    top = 0  # the node with the best path so far
     for i, e, t in found:
         j = _after_close(s, e)
         k = j
         while k < stop and s[k].isspace():
             k += 1
-        if not t or k >= stop or _ends_here(s, last, i, e, t, j, k):
+        choice, pick = None, top
+        p = len(at)
+        while p > 0:
+            p -= 1
+            if at[p] < i - NEAR and p != top:
+                p = top if p > top else 0
+                if at[p] >= i - NEAR or p != top:
+                    break
+            last = at[p]
             if j > last and _LATE.search(s, last, j):
-                out.append(min(j, stop))
-                last = j
+                value = best[p] + (SURE if not t or k >= stop else _weight(s, last, i, e, t, j, k, words, dots))
+                if choice is None or value > choice or value == choice and p == top:
+                    choice, pick = value, p
+            if at[p] < i - NEAR:
+                break
+        if choice is not None:
+            at.append(min(j, stop))
+            best.append(choice)
+            back.append(pick)
+            if choice > best[top]:
+                top = len(at) - 1
+    out: list[int] = []
+    n = top
+    while n:
+        out.append(at[n])
+        n = back[n]
+    out.reverse()
+    last = out[-1] if out else 0
     if last < stop and _LATE.search(s, last, stop):
         out.append(stop)
     return out
 
 
-def _ends_here(s: str, last: int, i: int, e: int, t: str, j: int, k: int) -> bool:
+def _weight(s: str, last: int, i: int, e: int, t: str, j: int, k: int, words: Words | None, dots: dict | None) -> float:
+    """The log odds that the sentence from ``last`` ends at a terminator."""
+    v = _ends_here(s, last, i, e, t, j, k, words)
+    if v is not None:
+        return SURE if v else -SURE
+    m = _TOKEN.search(s, max(last, i - 40), i)
+    low, up = dots.get(m.group().lower(), (0, 0)) if dots and m else (0, 0)
+    return max(-SURE, min(SURE, log((up + 1) / (DOT_RATIO * low + 0.01))))
+
+
+def _ends_here(s: str, last: int, i: int, e: int, t: str, j: int, k: int, words: Words | None) -> bool | None:
+    """What the signs around a terminator and the seeds say; None where the word before a point decides."""
     nxt, closed, spaced = s[k], j > e, k > j
     east = t[-1] in "。！？｡．" or t[0] == "…" and (i and _EAST.match(s[i - 1]) is not None)
     if nxt in "。！？!?.…" and not spaced:
         return False
     quoted = closed and any(c in _QUOTES for c in s[e:j])
     if east:
-        if quoted and _uncased(nxt) and _carried(s, k, spaced):
+        if quoted and _uncased(nxt) and _carried(s, k, spaced, words):
             return False
         if closed and not quoted and (nxt == "と" or t[-1] in "！？" and (nxt.isalpha() or nxt.isdigit()) and _aside(s, last, e)):
             return False
         return not (nxt.islower() and nxt.isascii() and t[-1] != "。") and nxt not in "，、,"
     if t[-1] in "।॥":
-        return not (quoted and _uncased(nxt) and _carried(s, k, spaced))
+        return not (quoted and _uncased(nxt) and _carried(s, k, spaced, words))
     if t in (";", ";"):
         greek = i and "Ͱ" <= s[i - 1] <= "Ͽ"
         return bool(greek) and not nxt.islower() and (t == ";" or closed or not nxt.islower())
@@ -215,12 +259,12 @@ def _ends_here(s: str, last: int, i: int, e: int, t: str, j: int, k: int) -> boo
     if nxt.islower() or nxt in ",;:)؛،":
         return False
     if quoted and _uncased(nxt):
-        return not _carried(s, s.index(nxt, k), spaced)
+        return not _carried(s, s.index(nxt, k), spaced, words)
     if t[-1] != ".":
         if t[-1] == "…" and not spaced and not closed:
             return nxt.isupper()
         if quoted:
-            return not (nxt.isupper() and _speaking(s[k:]))
+            return not (nxt.isupper() and _speaking(s[k : k + 80]))
         return True
     if not spaced and not closed:
         if not (nxt.isupper() or _uncased(nxt)):
@@ -245,66 +289,229 @@ def _ends_here(s: str, last: int, i: int, e: int, t: str, j: int, k: int) -> boo
         return False
     if "." in low and low.replace(".", "").isalpha() and max(map(len, low.split("."))) <= 2 and not closed:
         return False
-    if w.isdigit() and len(w) <= 2 and nxt.isupper() and re.match(r"\w+", s[k:]).group() in MONTHS:
+    if "." in w and not closed and w.rpartition(".")[2].lower() in NEVER and len(w.rpartition(".")[2]) > 1:
         return False
-    return True
+    if w.isdigit() and len(w) <= 2 and nxt.isupper() and re.match(r"\w+", s[k : k + 20]).group() in MONTHS:
+        return False
+    return True if closed or not w.isalpha() or not nxt.isupper() else None
 
 
-class Gaps:
-    """Counts of Thai pieces at ends, at starts and inside, in tables of fixed size."""
+#: Words of the dictionary, dotted forms, longest word by script, and least variety of a word.
+DICTIONARY, FORMS, MAX_THAI, MAX_EAST, VARIETY = 65_536, 65_536, 8, 4, 3
+#: How much more a small letter after a point says than a capital.
+DOT_RATIO = 4.0
+_RUN = re.compile(r"(?P<thai>[ก-๛][ก-๛9]*)|[々〆ぁ-ヿ㐀-鿿]+")
+_CLUSTER = re.compile("[เ-ไ]*[ก-ฯ]?[ะ-ฺๅ-๎]*|.")
+#: Letters of the words beside a gap that it is judged by.
+UNIT = 4
 
-    BITS, SPAN = 16, 4
 
-    def __init__(self, counts: np.ndarray | None = None):
-        self.n = counts if counts is not None else np.zeros((3, 1 << self.BITS), np.int64)
+def _spaceless(text: str) -> str:
+    """The text with numbers as one digit each, so that any number is the same word."""
+    return re.sub(r"[0-9]+(?:[.,][0-9]+)*", "9", text)
 
-    @classmethod
-    def slot(cls, piece: str) -> int:
-        import xxhash
 
-        return xxhash.xxh32_intdigest(piece) & ((1 << cls.BITS) - 1)
+class Words:
+    """Words of spaceless scripts, and how often their last and first ones stand at gaps that end a sentence.
 
-    def learn(self, text: str) -> None:
-        text = _DIGITS.sub("9", text)
-        for m in re.finditer(r"[ก-๛9.,]{8,}", text):
-            chunk = m.group()
-            if text[m.end() : m.end() + 1] in (" ", "\xa0"):
-                self.n[0, self.slot(chunk[-self.SPAN :])] += 1
-            if text[m.start() - 1 : m.start()] in ("", " ", "\xa0"):
-                self.n[1, self.slot(chunk[: self.SPAN])] += 1
-            for k in range(len(chunk) - 2 * self.SPAN + 1):
-                self.n[2, self.slot(chunk[k : k + 2 * self.SPAN])] += 1
+    ``finals``: the words before a gap (as many as make up UNIT letters) -> (gaps in all, gaps that end a
+    sentence); ``openings``: the words after a gap likewise.
+    """
 
-    def ends(self, left: str, right: str) -> bool:
-        left, right = _DIGITS.sub("9", left[-20:]), _DIGITS.sub("9", right[:20])
-        final, opening = self.n[0, self.slot(left[-self.SPAN :])], self.n[1, self.slot(right[: self.SPAN])]
-        spanning = self.n[2, self.slot(left[-self.SPAN :] + right[: self.SPAN])]
-        return bool(final and opening and final * opening / max(1, self.n[0].sum()) > 0.2 * spanning)
+    def __init__(self, weights: dict[str, float], finals: dict | None = None, openings: dict | None = None):
+        self.weights, self.cache = weights, {}
+        self.finals, self.openings = finals or {}, openings or {}
+        self.gaps, self.ends = (1 + sum(c[k] for c in self.finals.values()) for k in range(2))
+
+    def path(self, run: str) -> list[str]:
+        """The words of a run of letters: the path of the highest weight through its lattice."""
+        if run not in self.cache:
+            if len(self.cache) > 100_000:
+                self.cache.clear()
+            self.cache[run] = self._path(run)
+        return self.cache[run]
+
+    def _path(self, run: str) -> list[str]:
+        thai = "ก" <= run[0] <= "๛"
+        n, longest, get = len(run), MAX_THAI if thai else MAX_EAST, self.weights.get
+        # words begin and end between clusters of a consonant and its vowels and signs
+        at = [m.start() for m in _CLUSTER.finditer(run)] + [n] if thai else range(n + 1)
+        best: dict[int, float] = dict.fromkeys(at, -1.0)
+        step = {}
+        best[0] = 0.0
+        for k, i in enumerate(at[:-1]):
+            here, nxt = best[i], at[k + 1]
+            if here > best[nxt]:
+                best[nxt], step[nxt] = here, i
+            for j in at[k + 1 : k + 1 + longest]:
+                if j - i > longest:
+                    break
+                w = get(run[i:j])
+                if w is not None and here + w > best[j]:
+                    best[j], step[j] = here + w, i
+        out = []
+        while n:
+            out.append(run[step[n] : n])
+            n = step[n]
+        return out[::-1]
+
+    @staticmethod
+    def before(path: list[str], k: int) -> str:
+        """The words before the gap k of a path, UNIT letters or a little more."""
+        out = ""
+        while k and len(out) < UNIT:
+            k -= 1
+            out = path[k] + out
+        return out
+
+    @staticmethod
+    def after(path: list[str], k: int) -> str:
+        out = ""
+        while k < len(path) and len(out) < UNIT:
+            out += path[k]
+            k += 1
+        return out
 
+    def gap_ends(self, left: str, right: str) -> bool:
+        """Whether a sentence ends at a gap between two runs of Thai: no word spans it, and the words beside it stand oftener at ends than inside."""
+        a = re.search(r"[ก-๛9]*$", _spaceless(left[-60:].replace("\n", ""))).group()
+        b = re.match(r"[ก-๛9]*", _spaceless(right[:60].replace("\n", ""))).group()
+        if not a or not b:
+            return False
+        path = self.path(a + b)
+        places = {0: 0}
+        for k, w in enumerate(path, 1):
+            places[next(reversed(places)) + len(w)] = k
+        if len(a) not in places:
+            return False
+        k = places[len(a)]
+        n, e = self.finals.get(self.before(path, k), (0, 0))
+        m, o = self.openings.get(self.after(path, k), (0, 0))
+        inside = self.gaps - self.ends
+        odds = log((e + 0.5) / self.ends) - log((n - e + 0.5) / inside) + log((o + 0.5) / self.ends) - log((m - o + 0.5) / inside)
+        return odds + log(self.ends / inside) > 0
 
-def learn_gaps(texts: DataFrame) -> Gaps:
-    """Gap counts over all texts with Thai letters; at most 3 x 2**BITS sums reach the driver."""
+    def never_opens(self, text: str) -> bool:
+        """Whether the first words of a text are known ones that open no sentence of the corpus."""
+        m = _RUN.match(_spaceless(text))
+        n, o = self.openings.get(self.after(self.path(m.group()), 0), (0, 0)) if m else (0, 0)
+        return n >= 50 and o == 0
+
+
+def _batches_of(cols: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def learn_words(texts: DataFrame) -> Words:
+    """The dictionary and its counts over (text, whole): whether the text's own ends are known to be ends of what was written.
+
+    Two passes over the texts with spaceless letters: strings up to a word's length with the neighbours that they have,
+    and the words beside the gaps of all lattices. At most DICTIONARY rows of each kind reach the driver.
+    """
+    some = texts.select("text", "whole").where(F.col("text").rlike("[ก-๛々-ヿ㐀-鿿]"))
+    spark = texts.sparkSession
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: Counter = Counter()
+        n: Counter = Counter()
+
+        def rows():
+            for run, k in runs.items():
+                padded, longest = f"^{run}$", (MAX_THAI if "ก" <= run[0] <= "๛" else MAX_EAST) + 2
+                for size in range(3, longest):
+                    for i in range(len(padded) - size + 1):
+                        n[padded[i : i + size]] += k
+                if len(n) > 400_000:
+                    yield _batches_of([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["s", "n"])
+                    n.clear()
+            runs.clear()
+            yield _batches_of([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["s", "n"])
+            n.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Gaps()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                g.learn(t)
-        kind, slot = np.nonzero(g.n)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(g.n[kind, slot])], names=["kind", "slot", "n"])
+                runs.update(m.group() for m in _RUN.finditer(_spaceless(t)))
+            if len(runs) > 100_000:
+                yield from rows()
+        yield from rows()
+
+    seen = some.mapInArrow(strings, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    size = F.length("s")
+    edge = lambda c: F.when(c.isin("^", "$"), F.col("n")).otherwise(F.lit(1))
+    before = F.struct(F.expr("substring(s, 2)").alias("w"), edge(F.substring("s", 1, 1)).alias("left"), F.lit(0).cast("bigint").alias("right"))
+    after = F.struct(F.expr("substring(s, 1, length(s) - 1)").alias("w"), F.lit(0).cast("bigint").alias("left"), edge(F.substring("s", -1, 1)).alias("right"))
+    sides = seen.where(size >= 3).select(F.inline(F.array(before, after))).where(~F.col("w").rlike("[$^]"))
+    variety = sides.groupBy("w").agg(F.sum("left").alias("left"), F.sum("right").alias("right")).select("w", F.least("left", "right").alias("v")).where(F.col("v") >= VARIETY)
+    words = variety.where(~F.substring("w", 1, 1).rlike("[ะ-ฺๅ-๎]")).orderBy(F.desc(F.col("v") * F.length("w")), "w").limit(DICTIONARY).collect()
+    plain = Words({r.w: len(r.w) * log(r.v) for r in words})
+    shared = spark.sparkContext.broadcast(plain.weights)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n, hits = Words(shared.value), Counter(), Counter()
+
+        def rows():
+            keys = list(n)
+            yield _batches_of([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([hits[k] for k in keys], pa.int64())], ["opens", "w", "n", "hits"])
+            n.clear()
+            hits.clear()
+
+        for batch in batches:
+            for text, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                t = _spaceless(text)
+                for m in _RUN.finditer(t):
+                    path, thai = words.path(m.group()), m.group("thai") is not None
+                    for k in range(1, len(path)):
+                        n[False, words.before(path, k)] += 1
+                        n[True, words.after(path, k)] += 1
+                    left, right = t[: m.start()].rstrip(_QUOTES + _OPEN_TOO + "「『")[-1:] if not thai else t[m.start() - 1 : m.start()], t[m.end() : m.end() + 1]
+                    if whole or right:
+                        key = False, words.before(path, len(path))
+                        n[key] += 1
+                        hits[key] += right in ("", " ", "\xa0") if thai else right in ("", "。", "！", "？")
+                    if whole or left:
+                        key = True, words.after(path, 0)
+                        n[key] += 1
+                        hits[key] += left in ("", " ", "\xa0") if thai else left in ("", "。", "！", "？")
+            if len(n) > 300_000:
+                yield from rows()
+        yield from rows()
+
+    got = some.mapInArrow(places, "opens boolean, w string, n bigint, hits bigint").groupBy("opens", "w").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    finals, openings = ({r.w: (r.n, r.hits) for r in got.where(F.col("opens") == o).orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()} for o in (False, True))
+    return Words(plain.weights, finals, openings)
+
+
+_DOTTED = re.compile(r"([^\W\d_]+)\.[\s\xa0]+([^\W\d_])")
+
+
+def learn_dots(texts: DataFrame) -> dict[str, tuple[int, int]]:
+    """Words that stand with a point before a small letter: (times before a small letter, before a capital)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, up = Counter(), Counter()
+        for batch in batches:
+            found = _DOTTED.findall("\x01".join(t for t in batch.column(0).to_pylist() if t))
+            low.update(w.lower() for w, c in found if c.islower())
+            up.update(w.lower() for w, c in found if not c.islower())
+            if len(up) > 200_000:
+                yield from rows(low, up)
+        yield from rows(low, up)
+
+    def rows(low: Counter, up: Counter) -> Iterator[pa.RecordBatch]:
+        keys = list({*low, *up})
+        yield _batches_of([pa.array(keys, pa.string()), pa.array([low[k] for k in keys], pa.int64()), pa.array([up[k] for k in keys], pa.int64())], ["w", "low", "up"])
+        low.clear()
+        up.clear()
 
-    thai = texts.select("text").where(F.col("text").rlike("[ก-๛]"))
-    g = Gaps()
-    for r in thai.mapInArrow(run, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).collect():
-        g.n[r.kind, r.slot] = r.n
-    return g
+    n = texts.select("text").mapInArrow(run, "w string, low bigint, up bigint").groupBy("w").agg(F.sum("low").alias("low"), F.sum("up").alias("up")).where("low > 0")
+    return {r.w: (r.low, r.up) for r in n.orderBy(F.desc("low"), "w").limit(FORMS).collect()}
 
 
-def flow_ends(pieces: list[tuple[str, str]], gaps: Gaps) -> Iterator[tuple[str, int]]:
+def flow_ends(pieces: list[tuple[str, str]], words: Words, dots: dict) -> Iterator[tuple[str, int]]:
     """(rec_id, end_pos) of a flow of (rec_id, text) pieces."""
     s = "\n".join(t for _, t in pieces)
     starts = np.cumsum([0, *(len(t) + 1 for _, t in pieces)])
-    for e in ends(s, gaps.ends):
+    for e in ends(s, words, dots):
         k = int(np.searchsorted(starts, e, side="left")) - 1
         yield pieces[k][0], e - int(starts[k])
 
@@ -316,15 +523,15 @@ def _batch(kind: str, rows: list[tuple[str, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["rec_kind", "rec_id", "end_pos"])
 
 
-def zone_ends(zones: DataFrame, kinds: DataFrame, gaps: Gaps, info: tuple | None) -> DataFrame:
+def zone_ends(zones: DataFrame, kinds: DataFrame, words: Words, dots: dict, info: tuple | None) -> DataFrame:
     """Sentence ends of current zones with tag p; with ``info`` the wrongly decoded ones are left out."""
     texts = staged(scanfix.zone_texts(zones), "zones")
     furniture = scanfix.zone_furniture(texts, kinds)
     p = texts.where("tag = 'p'").select("zone_id", "text")
-    shared = zones.sparkSession.sparkContext.broadcast((gaps, info))
+    shared = zones.sparkSession.sparkContext.broadcast((words, dots, info))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps, info = shared.value
+        words, dots, info = shared.value
         fix = mojibake.Repair(*info) if info is not None else None
         for batch in batches:
             ids, texts, skips = (c.to_pylist() for c in batch.columns)
@@ -337,18 +544,18 @@ def zone_ends(zones: DataFrame, kinds: DataFrame, gaps: Gaps, info: tuple | None
                 if i in wrong:
                     continue
                 if not skip:
-                    rows += [(z, e) for e in ends(t, gaps.ends)]
+                    rows += [(z, e) for e in ends(t, words, dots)]
                     continue
                 lines = t.split("\n")
                 at = np.cumsum([0, *(len(x) + 1 for x in lines)])
                 kept = [(str(k), x) for k, x in enumerate(lines) if k not in skip]
-                rows += [(z, int(at[int(k)]) + e) for k, e in flow_ends(kept, gaps)]
+                rows += [(z, int(at[int(k)]) + e) for k, e in flow_ends(kept, words, dots)]
             yield _batch("zone", rows)
 
     return p.join(furniture, "zone_id", "left").select("zone_id", "text", "skip").mapInArrow(run, _OUT)
 
 
-def line_ends(kinds: DataFrame, gaps: Gaps) -> DataFrame:
+def line_ends(kinds: DataFrame, words: Words, dots: dict) -> DataFrame:
     """Sentence ends in the lines of body text and headings.
 
     Lines come sorted within their document; a flow is given out when its paragraph
@@ -356,10 +563,10 @@ def line_ends(kinds: DataFrame, gaps: Gaps) -> DataFrame:
     """
     ls = kinds.where("text <> ''").select("doc_id", "page", "block_no", "line_no", "line_id", "kind", "text")
     ordered = ls.repartition("doc_id").sortWithinPartitions("doc_id", "page", "block_no", "line_no", "line_id")
-    shared = kinds.sparkSession.sparkContext.broadcast(gaps)
+    shared = kinds.sparkSession.sparkContext.broadcast((words, dots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps, flow, before, rows, broken = shared.value, [], None, [], False
+        (words, dots), flow, before, rows, broken = shared.value, [], None, [], False
         for batch in batches:
             for doc, page, block, _, line, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind not in ("text", "heading"):
@@ -367,14 +574,14 @@ def line_ends(kinds: DataFrame, gaps: Gaps) -> DataFrame:
                     continue
                 here = (doc, kind, page, block)
                 if before is not None and here != before and _parts(before, here, flow[-1][1], text, broken):
-                    rows += flow_ends(flow, gaps)
+                    rows += flow_ends(flow, words, dots)
                     flow = []
                 flow.append((str(line), text))
                 before, broken = here, False
             yield _batch("line", rows)
             rows = []
         if flow:
-            yield _batch("line", list(flow_ends(flow, gaps)))
+            yield _batch("line", list(flow_ends(flow, words, dots)))
 
     return ordered.mapInArrow(run, _OUT)
 
@@ -395,7 +602,8 @@ def _parts(before: tuple, here: tuple, above: str, text: str, broken: bool) -> b
 
 def sentence_ends(zones: DataFrame, lines: DataFrame, pdf_tokens: DataFrame | None = None) -> DataFrame:
     """(rec_kind, rec_id, end_pos) of every sentence end in zones with tag p and in body lines and headings."""
-    gaps = learn_gaps(zones.select("text"))
+    both = zones.select("text", F.lit(True).alias("whole")).unionByName(lines.select("text", F.lit(False).alias("whole")))
+    words, dots = learn_words(both), learn_dots(both)
     info = mojibake.table_of(mojibake.corpus(pdf_tokens, zones)) if pdf_tokens is not None else None
     kinds = staged(scanfix.line_kinds(lines), "kinds")
-    return zone_ends(zones, kinds, gaps, info).unionByName(line_ends(kinds, gaps)).distinct()
+    return zone_ends(zones, kinds, words, dots, info).unionByName(line_ends(kinds, words, dots)).distinct()

@@ -353,3 +353,18 @@ def test_reading_levels(make):
     assert all((1 + i % 5 >= 4) == (i in found) for i in range(80, 120) if i % 5 not in (2, 3))
     none = {x.level for x in reading.levels(docs, make("reading_labels"), make("language_codes", CODES)).collect()}
     assert none == {None} and reading.levels(make("documents"), labels, make("language_codes", CODES)).count() == 0
+
+
+def test_word_lattices_and_dots(make):
+    """Words counted from a corpus cover their runs; gaps are judged by the words beside them; points by what follows them."""
+    first, last = ["ดัชนีแรก", "ผู้แปล", "โรงพิมพ์"], ["เพื่อผู้อ่าน", "ในเล่มที่สอง", "หลายแห่ง"]
+    text = [f"{a}มีข้อผิดพลาด{b} {c}แสดงหน้า{d}" for a in first for b in last for c in first for d in last]
+    df = make("zones", [{"zone_id": str(i), "text": t} for i, t in enumerate([*text, None, "", "of the bks. they saw", "in the bks. and maps"])])
+    words = sentences.learn_words(df.selectExpr("text", "true AS whole"))
+    assert words.weights and all("".join(words.path(r)) == r for r in (*first, *last, "กข", "中文"))
+    assert words.gap_ends(text[0][:20] + "ในเล่มที่สอง", "ผู้แปลแสดง") and not words.gap_ends("ดัชนีแรกมีข้อ", "ผิดพลาดหลายแห่ง")
+    dots = sentences.learn_dots(df)
+    assert dots == {"bks": (2, 0)}
+    assert sentences.ends("See the bks. They are here. Go.", None, dots) == [27, 31] and sentences.ends("See the bks. They are here. Go.") == [12, 27, 31]
+    none = sentences.learn_words(df.limit(0).selectExpr("text", "true AS whole"))
+    assert not none.weights and sentences.ends("กขค\nงจฉ", none, {}) == [7]
