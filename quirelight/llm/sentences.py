@@ -72,6 +72,7 @@ _TERM = re.compile(r"[.!?…。！？।॥؟．｡]+|;(?=[»”\"’)]*(?:\s|$)
 _CLOSE = "”’»\"')]}」』）】›"
 _OPEN_TOO = "“‘"
 _THAI_BLANK = re.compile(r"([ก-๛][”\"’)]*)[  ]+")
+_THAI = re.compile("[ก-๛]")
 _SPACED_CLOSE = re.compile(r"[   ]»")
 _TOKEN = re.compile(r"[^\s(\[«“„‚‘\"¿¡—–…,;:!?]+$")
 _INITIAL = re.compile(r"[A-ZА-ЯЁІЇЄҐΑ-Ω]\.")
@@ -177,7 +178,7 @@ def ends(s: str, words: Words | None = None, dots: dict | None = None) -> list[i
     """End offsets of the sentences of a flow, the best path through its terminators; line breaks are blanks."""
     stop = len(s.rstrip())
     found = [(m.start(), m.end(), m.group()) for m in _TERM.finditer(s)]
-    if "ก" <= max(s, default="") and any("ก" <= c <= "๛" for c in s):
+    if not s.isascii() and _THAI.search(s):
         found += [(m.end(1), m.end(1), "") for m in _THAI_BLANK.finditer(s)]
         for m in re.finditer(r"(?<=[ก-๛0-9])\n(?=[ก-๛])", s):
             if words and words.gap_ends(s[: m.start()], s[m.end() :]):
@@ -190,21 +191,19 @@ def ends(s: str, words: Words | None = None, dots: dict | None = None) -> list[i
         k = j
         while k < stop and s[k].isspace():
             k += 1
-        choice, pick = None, top
-        p = len(at)
-        while p > 0:
+        near = [top]
+        p = len(at) - 1
+        while p >= 0 and at[p] >= i - NEAR:
+            if p != top:
+                near.append(p)
             p -= 1
-            if at[p] < i - NEAR and p != top:
-                p = top if p > top else 0
-                if at[p] >= i - NEAR or p != top:
-                    break
+        choice = None
+        for p in near:
             last = at[p]
             if j > last and _LATE.search(s, last, j):
                 value = best[p] + (SURE if not t or k >= stop else _weight(s, last, i, e, t, j, k, words, dots))
-                if choice is None or value > choice or value == choice and p == top:
+                if choice is None or value > choice:
                     choice, pick = value, p
-            if at[p] < i - NEAR:
-                break
         if choice is not None:
             at.append(min(j, stop))
             best.append(choice)
@@ -302,6 +301,7 @@ DICTIONARY, FORMS, MAX_THAI, MAX_EAST, VARIETY = 65_536, 65_536, 8, 4, 3
 DOT_RATIO = 4.0
 _RUN = re.compile(r"(?P<thai>[ก-๛][ก-๛9]*)|[々〆ぁ-ヿ㐀-鿿]+")
 _CLUSTER = re.compile("[เ-ไ]*[ก-ฯ]?[ะ-ฺๅ-๎]*|.")
+_BLANKS = str.maketrans(dict.fromkeys("\n\t\xa0\u202f([«“„‚‘\"¿¡—–…,;:!?\x01", " "))
 #: Letters of the words beside a gap that it is judged by.
 UNIT = 4
 
@@ -387,7 +387,7 @@ class Words:
         k = places[len(a)]
         n, e = self.finals.get(self.before(path, k), (0, 0))
         m, o = self.openings.get(self.after(path, k), (0, 0))
-        inside = self.gaps - self.ends
+        inside = 1 + self.gaps - self.ends
         odds = log((e + 0.5) / self.ends) - log((n - e + 0.5) / inside) + log((o + 0.5) / self.ends) - log((m - o + 0.5) / inside)
         return odds + log(self.ends / inside) > 0
 
@@ -481,27 +481,26 @@ def learn_words(texts: DataFrame) -> Words:
     return Words(plain.weights, finals, openings)
 
 
-_DOTTED = re.compile(r"([^\W\d_]+)\.[\s\xa0]+([^\W\d_])")
-
-
 def learn_dots(texts: DataFrame) -> dict[str, tuple[int, int]]:
-    """Words that stand with a point before a small letter: (times before a small letter, before a capital)."""
+    """Words that stand with a point before a small letter: (times before a small letter, before anything else)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, up = Counter(), Counter()
+        low, every = Counter(), Counter()
+
+        def rows():
+            keys = [w for w in every if w.isalpha()]
+            yield _batches_of([pa.array([k.lower() for k in keys], pa.string()), pa.array([low[k] for k in keys], pa.int64()), pa.array([every[k] - low[k] for k in keys], pa.int64())], ["w", "low", "up"])
+            low.clear()
+            every.clear()
+
         for batch in batches:
-            found = _DOTTED.findall("\x01".join(t for t in batch.column(0).to_pylist() if t))
-            low.update(w.lower() for w, c in found if c.islower())
-            up.update(w.lower() for w, c in found if not c.islower())
-            if len(up) > 200_000:
-                yield from rows(low, up)
-        yield from rows(low, up)
-
-    def rows(low: Counter, up: Counter) -> Iterator[pa.RecordBatch]:
-        keys = list({*low, *up})
-        yield _batches_of([pa.array(keys, pa.string()), pa.array([low[k] for k in keys], pa.int64()), pa.array([up[k] for k in keys], pa.int64())], ["w", "low", "up"])
-        low.clear()
-        up.clear()
+            parts = "\x01".join(t for t in batch.column(0).to_pylist() if t).translate(_BLANKS).split(". ")
+            words = [p[p.rfind(" ") + 1 :] for p in parts[:-1]]
+            every.update(words)
+            low.update(w for w, p in zip(words, parts[1:]) if p[:1].islower())
+            if len(every) > 200_000:
+                yield from rows()
+        yield from rows()
 
     n = texts.select("text").mapInArrow(run, "w string, low bigint, up bigint").groupBy("w").agg(F.sum("low").alias("low"), F.sum("up").alias("up")).where("low > 0")
     return {r.w: (r.low, r.up) for r in n.orderBy(F.desc("low"), "w").limit(FORMS).collect()}
