@@ -301,7 +301,7 @@ DICTIONARY, FORMS, MAX_THAI, MAX_EAST, VARIETY = 65_536, 65_536, 8, 4, 3
 DOT_RATIO = 4.0
 _RUN = re.compile(r"(?P<thai>[ก-๛][ก-๛9]*)|[々〆ぁ-ヿ㐀-鿿]+")
 _CLUSTER = re.compile("[เ-ไ]*[ก-ฯ]?[ะ-ฺๅ-๎]*|.")
-_BLANKS = str.maketrans(dict.fromkeys("\n\t\xa0\u202f([«“„‚‘\"¿¡—–…,;:!?\x01", " "))
+_OPENED = "([«“„‚‘\"¿¡—–…"
 #: Letters of the words beside a gap that it is judged by.
 UNIT = 4
 
@@ -488,13 +488,14 @@ def learn_dots(texts: DataFrame) -> dict[str, tuple[int, int]]:
         low, every = Counter(), Counter()
 
         def rows():
-            keys = [w for w in every if w.isalpha()]
-            yield _batches_of([pa.array([k.lower() for k in keys], pa.string()), pa.array([low[k] for k in keys], pa.int64()), pa.array([every[k] - low[k] for k in keys], pa.int64())], ["w", "low", "up"])
+            keys = [(w, w.lstrip(_OPENED).lower()) for w in every]
+            keys = [(w, k) for w, k in keys if k.isalpha()]
+            yield _batches_of([pa.array([k for _, k in keys], pa.string()), pa.array([low[w] for w, _ in keys], pa.int64()), pa.array([every[w] - low[w] for w, _ in keys], pa.int64())], ["w", "low", "up"])
             low.clear()
             every.clear()
 
         for batch in batches:
-            parts = "\x01".join(t for t in batch.column(0).to_pylist() if t).translate(_BLANKS).split(". ")
+            parts = "\x01 ".join(t for t in batch.column(0).to_pylist() if t).replace("\n", " ").replace("\xa0", " ").split(". ")
             words = [p[p.rfind(" ") + 1 :] for p in parts[:-1]]
             every.update(words)
             low.update(w for w, p in zip(words, parts[1:]) if p[:1].islower())
