@@ -44,41 +44,6 @@ def content_fast_path(d):
         x AS (SELECT doc_id, {agg('token_id', 'text')} AS t FROM (SELECT DISTINCT doc_id, token_id, text FROM {{xhtml_tokens}} WHERE text IS NOT NULL) AS b GROUP BY doc_id) SELECT p.doc_id, p.t = x.t AS same FROM p JOIN x ON x.doc_id = p.doc_id"""
 
 
-@operator
-def heading_diff(d):
-    """Titles of neighbouring levels: a level that jumps by more than one down."""
-    return f"WITH {CUR}, t AS (SELECT zone_id, doc_id, level, lag(level) OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS before FROM cur WHERE tag = 'title' AND level IS NOT NULL) SELECT zone_id, before, level, coalesce(level > before + 1, false) AS jumps FROM t"
-
-
-@operator
-def list_diff(d):
-    return f"WITH {CUR}, l AS (SELECT p.zone_id, count(c.zone_id) AS items FROM cur p LEFT JOIN cur c ON {KEY('c.parent_id')} = {KEY('p.zone_id')} AND c.tag = 'list-item' WHERE p.tag = 'list' GROUP BY p.zone_id) SELECT zone_id, items, CASE WHEN items = 0 THEN 'LIST_STRUCTURE_CHANGED' ELSE 'OK' END AS verdict FROM l"
-
-
-@operator
-def footnote_diff(d):
-    n = d.get("text", r"^\s*\[?(\d{1,9})", 1)
-    return f"""WITH {CUR}, f AS (SELECT zone_id, doc_id, cast(nullif({n}, '') AS int) AS mark, row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) AS pos FROM cur WHERE tag = 'fn' AND text <> ''),
-        o AS (SELECT zone_id, mark, lag(mark) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM f) SELECT zone_id, mark, CASE WHEN mark IS NULL THEN 'NO_MARKER' WHEN mark < before THEN 'MARKER_ORDER' ELSE 'OK' END AS verdict FROM o"""
-
-
-@operator
-def reference_diff(d):
-    return f"WITH {CUR} SELECT zone_id, {T.extract_year('text', d)} AS year, {T.extract_author('text', d)} AS author, length(text) AS n FROM cur WHERE tag = 'ref' AND text <> ''"
-
-
-@operator
-def index_diff(d):
-    return f"WITH {CUR} SELECT c.zone_id, c.level - p.level AS step FROM cur c JOIN cur p ON {KEY('p.zone_id')} = {KEY('c.parent_id')} WHERE c.level IS NOT NULL AND p.level IS NOT NULL AND c.level - p.level <> 1"
-
-
-@operator
-def layout_diff(d):
-    """Blocks of one column on one page whose left edge moved by more than three points from the block before."""
-    return """WITH b AS (SELECT DISTINCT doc_id, page, block_no, column_no, x0, y0, y1 FROM {layout_blocks}), o AS (SELECT doc_id, page, block_no, x0 - lag(x0) OVER w AS indent, y0 - lag(y1) OVER w AS gap FROM b WINDOW w AS (PARTITION BY doc_id, page, column_no ORDER BY y0, block_no))
-        SELECT doc_id, page, block_no, indent, gap FROM o WHERE abs(indent) > 3 OR gap > 1.5e0"""
-
-
 @operator
 def margin_change(d):
     return f"""WITH {LINES}, m AS (SELECT doc_id, page, min(x0) AS l, max(x1) AS r FROM ln GROUP BY doc_id, page), o AS (SELECT doc_id, page, l - lag(l) OVER w AS dl, r - lag(r) OVER w AS dr FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY page))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.queries import composite, hierarchy, python, relational, text
+from quirelight.queries import composite, hierarchy, python, relational, structure, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (hierarchy, relational, text, python, composite)
+MODULES = (hierarchy, relational, text, python, composite, structure)
 
 
 def queries() -> dict[str, Query]:
