@@ -192,12 +192,11 @@ def information(counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
     """All maximal segments of positive total score, [start, end), left to right, in linear time."""
-    out, total = [], 0.0
     stack: list[list] = []  # start, end, sum before, sum through
-    for i, s in enumerate(score.tolist()):
-        before, total = total, total + s
-        if s <= 0:
-            continue
+    sums = np.cumsum(score, dtype=np.float64)
+    at = np.flatnonzero(score > 0)
+    for i, total, gain in zip(at.tolist(), sums[at].tolist(), score[at].tolist()):
+        before = total - gain
         cur = [i, i + 1, before, total]
         while True:
             j = len(stack) - 1
@@ -208,8 +207,7 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
                 break
             cur = [stack[j][0], cur[1], stack[j][2], cur[3]]
             del stack[j:]
-    out += [(s[0], s[1]) for s in stack]
-    return out
+    return [(s[0], s[1]) for s in stack]
 
 
 class Repair:
