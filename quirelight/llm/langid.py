@@ -127,7 +127,8 @@ class Profiles:
         if not hasattr(self, "index"):
             every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
             self.size = len(every)
-            self.index = [np.full(256, -1, np.int32), np.full(1 << 16, -1, np.int32), np.full(1 << 24, -1, np.int32)]
+            kind = np.int16 if self.size < 1 << 15 else np.int32
+            self.index = [np.full(1 << bits, -1, kind) for bits in (8, 16, 24)]
             for k, g in enumerate(every.tolist()):
                 self.index[2 if g >> 25 else 1 if g >> 24 else 0][g & 0xFFFFFF] = k
             self.rank = np.full((len(every), len(self.langs)), PROFILE, np.int16)
@@ -138,33 +139,34 @@ class Profiles:
 
     def distances(self, code: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
         """Mean out-of-place distance of each segment to each profile; ``PROFILE`` for empty segments."""
-        c = code.astype(np.int64)
-        b = np.concatenate([[0], c[:-1]])
-        a = np.concatenate([[0, 0], c])[: len(c)]
+        c = code.astype(np.int32)
+        b, a = np.zeros_like(c), np.zeros_like(c)
+        b[1:], a[2:] = c[:-1], c[:-2]
         ids, segs = [], []
         two, three = b << 8 | c, a << 16 | b << 8 | c
         for table, key, ok in ((self.index[0], c, None), (self.index[1], two, None), (self.index[2], three, b > 0)):
             k = table[key]
             use = k >= 0 if ok is None else (k >= 0) & ok
-            ids.append(k[use].astype(np.int64))
+            ids.append(k[use])
             segs.append(seg[use])
         out = np.full((n, len(self.langs)), float(PROFILE))
-        key = np.concatenate(segs) * self.size + np.concatenate(ids)
+        key = np.concatenate(segs).astype(np.int64) * self.size + np.concatenate(ids)
         if not len(key):
             return out
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
         s, g = key[first] // self.size, key[first] % self.size
-        order = np.lexsort((g, -count, s))
+        order = np.argsort(s << 36 | (0xFFFF - np.minimum(count, 0xFFFF)) << 20 | g)  # n-gram numbers stay below 2**20
         s, g = s[order], g[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         rank = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
         keep = rank < TOP
         s, g, rank = s[keep], g[keep], rank[keep].astype(np.int16)
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        places = np.abs(self.rank[g] - rank[:, None])
-        places[self.rank[g] == PROFILE] = PROFILE
+        known = self.rank[g]
+        places = np.abs(known - rank[:, None])
+        places[known == PROFILE] = PROFILE
         total = np.add.reduceat(places, start, axis=0, dtype=np.int64)
         out[s[start]] = total / np.diff(np.append(start, len(s)))[:, None]
         return out
@@ -438,6 +440,13 @@ def fit(documents: DataFrame, codes: DataFrame, per_label: int = PER_LABEL) -> P
 _RUN = re.compile(r"([^\W\d_])\1{7,}")
 
 
+def _any_runs(texts: list[str]) -> bool:
+    """Whether some character stands eight times in a row anywhere; one look at all texts."""
+    cp = np.frombuffer("\x01".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = np.flatnonzero(cp[1:] == cp[:-1])
+    return bool((same[6:] - same[:-6] == 6).any())
+
+
 def _without_runs(text: str) -> str:
     """Blanks for runs of one letter, which are in no language, if other letters remain."""
     t = _RUN.sub(lambda m: " " * len(m.group()), text)
@@ -461,7 +470,9 @@ def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 400):
                 part = batch.slice(k, 400)
-                texts = [_without_runs(t or "") for t in part.column(5).to_pylist()]
+                texts = [t or "" for t in part.column(5).to_pylist()]
+                if _any_runs(texts):
+                    texts = [_without_runs(t) for t in texts]
                 total, sure, s = p.classify(texts)
                 lost = np.bincount(s["rec"], s["lost"], len(texts))
                 spoilt = np.flatnonzero(lost > total.sum(1))
