@@ -398,6 +398,8 @@ def train(rows: list[tuple[str, str]], scripts: dict[str, str]) -> Profiles:
     while lines:  # labels without a language of their own: their lines are as near to the other profiles
         p = profiles(lines)
         lines = [x for x in lines if x[0] in p.langs]  # lines without a letter of their script make no profile
+        if not lines:
+            break
         near: dict[str, list] = {x: [] for x in p.langs}
         for k in range(0, len(lines), 2000):
             part = lines[k : k + 2000]
