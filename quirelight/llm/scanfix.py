@@ -17,7 +17,7 @@ r"""Problem 3: noise in text from scanned pages.
   the rare form's own support there. Word and context counts cover the whole
   corpus; only what a Bloom filter lets pass is counted or joined, and the joins
   decide exactly.
-* *Reflow*: the repaired lines of a document, joined to paragraphs.
+* *Reflow*: the repaired lines of a document and of its zones, joined to paragraphs.
 
 Notices are lines in a smaller type than the document's text. ``scanned`` is a
 page with any line whose source says OCR, in any spelling.
@@ -337,16 +337,13 @@ def chosen_forms(open_: DataFrame, texts: DataFrame, counts: DataFrame) -> DataF
     return y.select("word", "prev", "next", F.when(better, F.col("alt.form")).otherwise(F.col("best")).alias("form"), (F.when(better, F.col("alt.n")).otherwise(F.col("other")) * PAIR_RATIO >= F.col("own")).alias("sure"))
 
 
-def misread_words(units: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(rec_kind, rec_id, word, best): misread words of the units (rec_kind, rec_id, next_id, text).
-
-    A word that goes on in the unit ``next_id`` holds a JOINT; it is counted for the
-    unit whose part differs from the right form.
+def misread_places(units: DataFrame, texts: DataFrame, counts: DataFrame, cand: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, next_id, word, first, prev, next, best): misread words of the units (rec_kind, rec_id, next_id, text) in their places.
 
-    ``best`` is null where a word holds a character that is no letter but no
-    frequent form is known.
+    ``cand`` as by ``candidates`` or ``repairable``. A word that goes on in the unit ``next_id`` holds a JOINT in
+    the text; ``first`` is its part before it. ``best`` is null where a word holds a
+    character that is no letter but no frequent form is known.
     """
-    cand = staged(candidates(counts), "misread-forms")
     wanted = units.sparkSession.sparkContext.broadcast(Filter(cand.select(F.xxhash64("form"))))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,9 +371,16 @@ def misread_words(units: DataFrame, texts: DataFrame, counts: DataFrame) -> Data
                 seen.clear()
 
     occ = units.select("rec_kind", "rec_id", "next_id", "text").mapInArrow(occurrences, "rec_kind string, rec_id string, next_id string, word string, first string, prev string, next string, inside boolean")
-    hit = staged(occ.join(cand.withColumnRenamed("form", "word"), "word", "left").where("inside or best is not null"), "misread")
+    sure_only = "inside" + (" or best is not null and not only_broken" if "only_broken" in cand.columns else " or best is not null")
+    hit = staged(occ.join(cand.withColumnRenamed("form", "word"), "word", "left").where(sure_only), "misread")
     form = chosen_forms(hit.where("best is not null"), texts, counts)
     x = hit.join(form, ["word", "prev", "next"], "left").where("inside or sure").withColumn("best", F.coalesce("form", "best"))
+    return x.select("rec_kind", "rec_id", "next_id", "word", "first", "prev", "next", "best")
+
+
+def misread_words(units: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(rec_kind, rec_id, word, best): ``misread_places`` of the units; a broken word is counted for the unit whose part differs from the right form."""
+    x = misread_places(units, texts, counts, staged(candidates(counts), "misread-forms"))
     rest = F.expr("substring(word, length(first) + 1)")
     odd = rf"[\p{{L}}][{NOT_LETTERS}ſ]|[{NOT_LETTERS}ſ][\p{{L}}]"
     here = F.when(F.col("first") == F.col("word"), True).when(F.col("best").isNull(), F.col("first").rlike(odd)).otherwise(~F.startswith("best", F.col("first")))
@@ -412,41 +416,60 @@ def _broken(text) -> F.Column:
     return F.coalesce(F.substring(F.rtrim(text), -1, 1).isin(*MARKS) & text.rlike(_TAIL), F.lit(False))
 
 
+def _place(*columns) -> F.Column:
+    """The place of a line in its document or zone, by ``columns`` or literals."""
+    names = ("page", "block_no", "line_no", "line_id")
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).cast("bigint").alias(n) for c, n in zip(columns, names)]).alias("place")
+
+
 def line_flow(kinds: DataFrame) -> DataFrame:
-    """Scanned lines: rec_kind, rec_id, kind, text, ``next`` and ``next_id`` (where the last word is broken), ``after`` (whether the line before ends in a broken word)."""
+    """Scanned lines: rec_kind, rec_id, kind, text, ``next`` and ``next_id`` (where the last word is broken), ``after`` (whether the line before ends in a broken word), doc_id, ``place``."""
     order = Window.partitionBy("doc_id", "kind").orderBy("page", "block_no", "line_no", "line_id")
     x = kinds.where("kind <> 'notice'").withColumn("_t", _broken(F.col("text")))
     x = x.withColumn("_n", F.lead("text").over(order)).withColumn("_i", F.lead("line_id").over(order)).withColumn("after", F.coalesce(F.lag("_t").over(order), F.lit(False))).where("scanned")
-    return x.select(F.lit("line").alias("rec_kind"), F.col("line_id").cast("string").alias("rec_id"), "kind", "text", F.when(F.col("_t"), F.col("_n")).alias("next"), F.when(F.col("_t"), F.col("_i").cast("string")).alias("next_id"), "after")
+    return x.select(F.lit("line").alias("rec_kind"), F.col("line_id").cast("string").alias("rec_id"), "kind", "text", F.when(F.col("_t"), F.col("_n")).alias("next"), F.when(F.col("_t"), F.col("_i").cast("string")).alias("next_id"), "after", "doc_id", _place("page", "block_no", "line_no", "line_id"))
 
 
 def zone_flow(texts: DataFrame, furniture: DataFrame) -> DataFrame:
     """The lines of paragraph zones in the columns of ``line_flow``; furniture left out.
 
     A zone is split where a line ended: at a line feed, or at a blank after a mark
-    between letters. Each line takes its neighbours along from the array of the zone.
+    between letters. Each line takes its neighbours along from the array of the zone;
+    ``place`` counts the lines of a zone.
     """
     p = texts.where("tag = 'p'").join(furniture, "zone_id", "left")
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("skip", i))
-    x = p.select("zone_id", F.when(F.col("skip").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    x = p.select("zone_id", "doc_id", F.when(F.col("skip").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
     cut = F.contains("text", F.lit("\n"))
     for m in MARKS:
         cut = cut | F.contains("text", F.lit(m + " "))
-    one = x.where(~cut).select("zone_id", "text", F.lit(None).cast("string").alias("next"), F.lit(False).alias("after"))
-    many = x.where(cut).select("zone_id", F.split("text", _SPLIT_IN_ZONE, -1).alias("l"))
-    lines = F.transform("l", lambda t, i: F.struct(t.alias("text"), F.when(_broken(t), F.get("l", i + 1)).alias("next"), ((i > 0) & _broken(F.get("l", i - 1))).alias("after")))
-    many = many.select("zone_id", F.inline(lines))
-    null = F.lit(None).cast("string")
-    return one.unionByName(many).select(F.lit("zone").alias("rec_kind"), F.col("zone_id").alias("rec_id"), F.lit("text").alias("kind"), "text", "next", null.alias("next_id"), "after")
+    one = x.where(~cut).select("zone_id", "doc_id", "text", F.lit(None).cast("string").alias("next"), F.lit(False).alias("after"), F.lit(0).alias("i"))
+    many = x.where(cut).select("zone_id", "doc_id", F.split("text", _SPLIT_IN_ZONE, -1).alias("l"))
+    lines = F.transform("l", lambda t, i: F.struct(t.alias("text"), F.when(_broken(t), F.get("l", i + 1)).alias("next"), ((i > 0) & _broken(F.get("l", i - 1))).alias("after"), i.alias("i")))
+    many = many.select("zone_id", "doc_id", F.inline(lines))
+    null, zero = F.lit(None).cast("string"), F.lit(0)
+    return one.unionByName(many).select(F.lit("zone").alias("rec_kind"), F.col("zone_id").alias("rec_id"), F.lit("text").alias("kind"), "text", "next", null.alias("next_id"), "after", "doc_id", _place(zero, zero, "i", zero))
 
 
 def joined_units(flow: DataFrame) -> DataFrame:
     """Units whose broken words are whole, with a JOINT, in the unit of the first part."""
-    first = r"^\s*[\p{L}\p{M}0156@|]+"
-    text = F.when(F.col("after"), F.regexp_replace("text", first, "")).otherwise(F.col("text"))
-    rest = F.ltrim(F.regexp_extract("next", first, 0))
-    whole = F.when(F.col("next").isNotNull(), F.concat(F.regexp_replace(text, _TAIL, ""), F.lit(JOINT), rest)).otherwise(text)
-    return flow.select("rec_kind", "rec_id", "next_id", whole.alias("text"))
+    return flow.select("rec_kind", "rec_id", "next_id", _whole().alias("text"))
+
+
+#: What a line begins with that may end the broken word before it.
+_FIRST = r"^\s*[\p{L}\p{M}0156@|]+"
+
+
+def _own() -> F.Column:
+    """The text of a unit without the end of the broken word before it."""
+    return F.when(F.col("after"), F.regexp_replace("text", _FIRST, "")).otherwise(F.col("text"))
+
+
+def _whole() -> F.Column:
+    """The text of a unit by the columns of ``line_flow``, its broken word whole."""
+    text = _own()
+    rest = F.ltrim(F.regexp_extract("next", _FIRST, 0))
+    return F.when(F.col("next").isNotNull(), F.concat(F.regexp_replace(text, _TAIL, ""), F.lit(JOINT), rest)).otherwise(text)
 
 
 def defects(lines: DataFrame, zones: DataFrame) -> DataFrame:
@@ -456,34 +479,118 @@ def defects(lines: DataFrame, zones: DataFrame) -> DataFrame:
     skip = staged(zone_furniture(texts, kinds), "furniture")
     heads = kinds.where("scanned and kind = 'furniture'").select(F.lit("line").alias("rec_kind"), F.col("line_id").cast("string").alias("rec_id"))
     heads = heads.unionByName(skip.select(F.lit("zone").alias("rec_kind"), F.col("zone_id").alias("rec_id"))).withColumn("defect", F.lit("furniture"))
-    flow = staged(line_flow(kinds).where("kind <> 'furniture'").unionByName(zone_flow(texts, skip)), "flow")
+    flow = staged(line_flow(kinds).where("kind <> 'furniture'").unionByName(zone_flow(texts, skip)).drop("doc_id", "place"), "flow")
     broken = hyphens(flow.where("next is not null"), counts).select("rec_kind", "rec_id", F.lit("hyphen").alias("defect"))
     wrong = misread_words(joined_units(flow), corpus(lines, zones), counts).select("rec_kind", "rec_id", F.lit("misread").alias("defect"))
     return broken.unionByName(wrong).unionByName(heads).distinct()
 
 
+def repairable(flow: DataFrame, counts: DataFrame) -> DataFrame:
+    """(form, n, k, best, only_broken): ``candidates``, and those of broken words that the corpus has in no line whole.
+
+    The latter hold a character that is no letter: others are no misreadings for sure.
+    """
+    whole = F.lower(F.replace(F.regexp_extract(_whole(), rf"[\p{{L}}\p{{N}}_@|]*{JOINT}[\p{{L}}\p{{N}}_@|]*$", 0), F.lit(JOINT), F.lit("")))
+    more = flow.where("next is not null").select(whole.alias("form")).where(f"form rlike '[{NOT_LETTERS}ſ]'").distinct()
+    more = more.join(counts, "form", "left_anti").select("form", F.lit(1).cast("bigint").alias("n"))
+    own = candidates(counts.select("form", "n").unionByName(more))
+    return own.join(more.select("form", F.lit(True).alias("only_broken")), "form", "left").withColumn("only_broken", F.coalesce("only_broken", F.lit(False)))
+
+
+def _cased(best, word) -> F.Column:
+    """``best`` (small letters) with the capitals of ``word``."""
+    big = lambda c: (F.upper(c) == c) & (F.lower(c) != c)
+    capital = F.concat(F.upper(F.substring(best, 1, 1)), best.substr(F.lit(2), F.length(best)))
+    return F.when(big(word), F.upper(best)).when(big(F.substring(word, 1, 1)), capital).otherwise(best)
+
+
+def repaired_units(flow: DataFrame) -> DataFrame:
+    """Adds ``head``, ``body`` and ``moved`` to units with ``fixes`` (prev, word, next -> right form) and ``broken``.
+
+    ``head`` is what ends the broken word of the unit before, ``body`` the rest with its right
+    forms in their places. A broken word with a right form stands whole in the unit of its
+    first part (``moved``), and the next unit's ``head`` falls away.
+    """
+    letter = r"[\p{L}\p{N}_@|\x1f]"
+    cut = rf"(?<={letter})(?!{letter})|(?<!{letter})(?={letter})"
+    plain = lambda w: F.lower(F.replace(F.coalesce(w, F.lit("")), F.lit(JOINT), F.lit("")))
+
+    def fixed(w, i):
+        words = F.col("_w")
+        best = F.try_element_at("fixes", F.concat_ws(_SLOT, plain(F.get(words, i - 2)), plain(w), plain(F.get(words, i + 2))))
+        # a broken word that ends the unit, with letters on either side, and whose mark must vanish
+        whole = F.col("broken") & F.endswith(F.col("_u"), w) & ~F.startswith(w, F.lit(JOINT)) & ~F.endswith(w, F.lit(JOINT))
+        new = F.when(~F.contains(w, F.lit(JOINT)), _cased(best, w)).when(whole, F.concat(_cased(best, w), F.lit(JOINT)))
+        return F.coalesce(F.when(w.rlike(letter) & best.isNotNull(), new), w)
+
+    some = F.col("fixes").isNotNull()
+    x = flow.withColumn("_u", F.when(some, _whole())).withColumn("_w", F.split("_u", cut, -1)).withColumn("_r", F.array_join(F.transform("_w", fixed), ""))
+    goes_on = F.col("next").isNotNull()
+    x = x.withColumn("moved", F.coalesce(some & goes_on & ~F.endswith("_u", F.lit(JOINT)) & F.endswith("_r", F.lit(JOINT)), F.lit(False)))
+    x = x.withColumn("head", F.when(F.col("after"), F.regexp_extract("text", _FIRST, 0)).otherwise(F.lit("")))
+    own = F.when(goes_on, F.concat(F.regexp_extract("_r", rf"(?s)^(.*){JOINT}", 1), F.regexp_extract(_own(), _TAIL, 0))).otherwise(F.col("_r"))
+    return x.withColumn("body", F.when(some, own).otherwise(F.expr("substring(text, length(head) + 1)"))).drop("_u", "_w", "_r")
+
+
 def repaired_lines(lines: DataFrame, zones: DataFrame) -> DataFrame:
-    """(doc_id, block, text): continuous paragraphs of each document's scanned lines.
+    """(doc_id, zone_id, paragraph, kind, text): continuous paragraphs of each document's scanned lines (zone_id null), and of its zones.
 
-    Furniture and notices are left out, misread words replaced, broken words joined;
-    a window over the lines opens a paragraph where a block begins with a line that
-    the text before doesn't run into. Paragraphs are numbered in reading order.
+    Furniture is left out, misread words are replaced in their places, broken words joined.
+    A window over the lines opens a paragraph where a block begins with a line that
+    the text before doesn't run into; notices don't interrupt the text, each block of
+    them is a paragraph of its own kind. Paragraphs are numbered in reading order. A
+    current zone with tag p is one paragraph; empty ones have none.
     """
     counts = staged(word_counts(corpus(lines, zones)), "words")
-    ls = staged(line_kinds(lines), "kinds")
-    flow = staged(line_flow(ls).where("kind <> 'furniture'"), "flow")
-    broken = hyphens(flow.where("next is not null"), counts).select("rec_id", F.lit(True).alias("broken"))
-    bad = misread_words(joined_units(flow), corpus(lines, zones), counts).where("best is not null")
-    fixes = bad.groupBy("rec_id", "word").agg(F.max("best").alias("best")).groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("fixes"))
-    own = ls.where("scanned and kind in ('text', 'heading')").withColumn("rec_id", F.col("line_id").cast("string"))
-    x = own.join(broken.distinct(), "rec_id", "left").join(fixes, "rec_id", "left")
-    words = F.split("text", r"(?<=[\p{L}\p{M}\p{N}@|])(?![\p{L}\p{M}\p{N}@|])|(?<![\p{L}\p{M}\p{N}@|])(?=[\p{L}\p{M}\p{N}@|])", -1)
-    text = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at("fixes", F.lower(w)), w)), ""))
-    text = F.when(F.col("broken"), F.regexp_replace(text, rf"[{MARKS}]\s*$", "")).when(F.col("text").rlike(rf"\p{{L}}[-‐]\s*$"), F.rtrim(text)).otherwise(F.concat(F.rtrim(text), F.lit(" ")))
-    order = Window.partitionBy("doc_id").orderBy("page", "block_no", "line_no", "line_id")
+    ls, texts = staged(line_kinds(lines), "kinds"), staged(zone_texts(zones), "zones")
+    of_zones = zone_flow(texts, zone_furniture(texts, ls)).withColumnRenamed("rec_id", "zone_id")
+    unit = lambda i: F.concat("zone_id", F.lit(JOINT), i.cast("string"))
+    of_zones = of_zones.withColumn("rec_id", unit(F.col("place.line_no"))).withColumn("next_id", F.when(F.col("next").isNotNull(), unit(F.col("place.line_no") + 1)))
+    of_lines = line_flow(ls).where("kind <> 'furniture'").withColumn("zone_id", F.lit(None).cast("string"))
+    flow = staged(of_lines.unionByName(of_zones), "flow")
+    broken = hyphens(flow.where("next is not null"), counts).select("rec_id", F.lit(True).alias("broken"), F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("best"))
+    cand = staged(repairable(flow, counts), "misread-forms")
+    bad = misread_places(joined_units(flow), corpus(lines, zones), counts, cand).where("best is not null")
+    bad = bad.select("rec_id", F.lit(None).cast("boolean").alias("broken"), F.concat_ws(_SLOT, "prev", "word", "next").alias("at"), "best")
+    fixes = F.collect_set(F.when(F.col("best").isNotNull(), F.struct("at", "best")))
+    edits = broken.unionByName(bad).groupBy("rec_id").agg(F.max("broken").alias("broken"), fixes.alias("f"))
+    edits = staged(edits.select("rec_id", "broken", F.when(F.size("f") > 0, F.map_from_entries("f")).alias("fixes")), "edits")
+    return _line_paragraphs(_edited(flow.where("zone_id is null"), edits), ls).unionByName(_zone_paragraphs(_edited(flow.where("zone_id is not null"), edits)))
+
+
+def _edited(flow: DataFrame, edits: DataFrame) -> DataFrame:
+    x = repaired_units(flow.join(edits, "rec_id", "left").withColumn("broken", F.coalesce("broken", F.lit(False))))
+    return x.select("rec_id", "next_id", "doc_id", "zone_id", "kind", "text", "place", "broken", "moved", "head", "body")
+
+
+def _flowing(y, gone) -> F.Column:
+    """The text of a repaired unit as it stands in a paragraph: ``gone`` if its head stands in the unit before."""
+    text = F.concat(F.when(gone, F.lit("")).otherwise(F.coalesce(y("head"), F.lit(""))), y("body"))
+    return F.when(y("broken"), F.regexp_replace(text, rf"[{MARKS}]\s*$", "")).when(y("text").rlike(rf"\p{{L}}[-‐]\s*$"), F.rtrim(text)).otherwise(F.concat(F.rtrim(text), F.lit(" ")))
+
+
+def _zone_paragraphs(x: DataFrame) -> DataFrame:
+    """One paragraph for each zone that has text."""
+    x = x.groupBy("zone_id").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "text", "broken", "moved", "head", "body"))).alias("l"))
+    pieces = F.transform("l", lambda y, i: _flowing(lambda c: y[c], F.coalesce(F.get("l", i - 1)["moved"], F.lit(False))))
+    x = x.withColumn("text", F.trim(F.array_join(pieces, ""))).where("text <> ''")
+    return x.select("doc_id", "zone_id", F.lit(1).cast("bigint").alias("paragraph"), F.lit("text").alias("kind"), "text")
+
+
+def _line_paragraphs(x: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The paragraphs of repaired lines, and of the notices on their pages. One shuffle by document serves all windows."""
+    notices = kinds.where("scanned and kind = 'notice'").select("doc_id", "kind", "text", _place("page", "block_no", "line_no", "line_id"), F.col("text").alias("body"))
+    x = x.unionByName(notices, allowMissingColumns=True).repartition("doc_id").withColumn("notice", F.col("kind") == "notice")
+    run = Window.partitionBy("doc_id", "notice", "kind").orderBy("place")
+    gone = F.coalesce(F.lag("moved").over(run) & (F.lag("next_id").over(run) == F.col("rec_id")), F.lit(False))
+    x = x.withColumn("_gone", gone).withColumn("_text", _flowing(F.col, F.col("_gone")))
+    order = Window.partitionBy("doc_id", "notice").orderBy("place")
     before = F.lag("text").over(order)
-    block = F.lag(F.struct("page", "block_no", "kind")).over(order)
-    opens = before.isNull() | (block["kind"] != F.col("kind")) | ((block != F.struct("page", "block_no", "kind")) & before.rlike(FINISHED))
-    x = x.withColumn("_open", opens.cast("int")).withColumn("paragraph", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("text", text)
-    part = x.groupBy("doc_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page", "block_no", "line_no", "line_id", "text"))).alias("l"))
-    return part.select("doc_id", "paragraph", F.trim(F.array_join(F.transform("l", lambda y: y.text), "")).alias("text"))
+    here = F.struct("place.page", "place.block_no", "kind")
+    block = F.lag(here).over(order)
+    opens = before.isNull() | (block["kind"] != F.col("kind")) | ((block != here) & (F.col("notice") | before.rlike(FINISHED)))
+    x = x.withColumn("_open", opens.cast("int")).withColumn("_part", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    part = x.groupBy("doc_id", "notice", "_part").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("place", F.col("_text").alias("text")))).alias("l"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("l")[0]["place"]))
+    text = F.trim(F.array_join(F.transform("l", lambda y: y.text), ""))
+    return part.select("doc_id", F.lit(None).cast("string").alias("zone_id"), number.cast("bigint").alias("paragraph"), "kind", text.alias("text"))

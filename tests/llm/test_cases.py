@@ -126,6 +126,21 @@ def test_scan_defects(make):
     assert rows(scanfix.defects(make("line_features"), make("zones"))) == set()
 
 
+def test_paragraphs_of_lines_and_zones_are_repaired(make):
+    body = ["Gardcn near the g0ver-", "nment stood in the gov-", "ern-", "ment house by the well-", "known lamp"]
+    more = [line(100 + i, "the garden near the river in the garden of the government and the well-known garden", page=2, line_no=i) for i in range(30)]
+    notice = line(50, "Printed for subscribers", block_no=3, font_size=6.0)
+    lines = make("line_features", [*(line(10 + i, t) for i, t in enumerate(body)), notice, *more])
+    texts = {"z": "THE GARDCN of the g0vern-\n- 14 -\nment, a well- known gardcn", "e": "", "n": None, "t": "A title"}
+    zones = make("zones", [{"zone_id": k, "doc_id": 1, "tag": "title" if k == "t" else "p", "text": t, "saved_at": T0} for k, t in texts.items()])
+    got = scanfix.repaired_lines(lines, zones).collect()
+    first = next(r for r in got if r.zone_id is None and r.paragraph == 1)
+    assert first.kind == "text" and first.text.startswith("Garden near the government stood in the government house by the well-known lamp the garden near")
+    assert [(r.kind, r.text) for r in got if r.zone_id is None and r.paragraph > 1] == [("notice", "Printed for subscribers")]
+    assert {(r.zone_id, r.doc_id, r.text) for r in got if r.zone_id} == {("z", 1, "THE GARDEN of the government, a well-known garden")}
+    assert scanfix.repaired_lines(make("line_features"), make("zones")).collect() == []
+
+
 # ---- 5
 
 def wrong(text, wrong_enc="cp1252"):
