@@ -154,15 +154,24 @@ class Encoder:
             self.cache[w] = self.exact.encode_ordinary(w) if b else p
         return int(bad.sum())
 
-    def texts(self, texts: list[str | None]) -> list[list[list[int]]]:
+    def words(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them in the cache."""
         cut = [self.find(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         if new := list(set(chain.from_iterable(cut)).difference(self.cache)):
             self.learn(new)
-        get = self.cache.__getitem__
+        return cut
+
+    def texts(self, texts: list[str | None]) -> list[list[list[int]]]:
+        cut, get = self.words(texts), self.cache.__getitem__
         return [list(map(get, words)) for words in cut]
 
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text."""
+        cut, get = self.words(texts), self.cache.__getitem__
+        return [sum(map(len, map(get, words))) for words in cut]
+
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of each row's text, in one pass without a shuffle."""
@@ -186,6 +195,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens) of each row's text; only the counts leave the Python workers."""
-    from pyspark.sql import functions as F
+    path = path or vocabulary_path()
+    tables = df.sparkSession.sparkContext.broadcast(pair_tables(path))
+    kind = df.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder.of(path, tables.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(enc.counts(part.column(1).to_pylist()), pa.int64())], names=[id_col, "n_tokens"])
 
-    return encode(df, id_col, text_col, path).select(id_col, F.size("ids").cast("long").alias("n_tokens"))
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens bigint")

@@ -128,47 +128,64 @@ class Profiles:
             every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
             self.size = len(every)
             kind = np.int16 if self.size < 1 << 15 else np.int32
-            self.index = [np.full(1 << bits, -1, kind) for bits in (8, 16, 24)]
+            self.index = [np.full(1 << bits, -1, kind) for bits in (8, 16)]
             for k, g in enumerate(every.tolist()):
-                self.index[2 if g >> 25 else 1 if g >> 24 else 0][g & 0xFFFFFF] = k
-            self.rank = np.full((len(every), len(self.langs)), PROFILE, np.int16)
+                if not g >> 25:
+                    self.index[1 if g >> 24 else 0][g & 0xFFFF] = k
+            # 3-grams by the number of their first two letters (0: none has these), so that the tables stay small
+            three = np.flatnonzero(every >> 25)
+            pairs, at = np.unique(every[three] >> 8 & 0xFFFF, return_inverse=True)
+            self.pair = np.zeros(1 << 16, np.int32)
+            self.pair[pairs] = np.arange(1, len(pairs) + 1, dtype=np.int32) << 8
+            self.index.append(np.full(len(pairs) + 1 << 8, -1, kind))
+            self.index[2][at + 1 << 8 | every[three] & 0xFF] = three
+            self.rank = np.full((len(self.langs), len(every)), PROFILE, np.int16)
             for j, g in enumerate(self.grams):
-                self.rank[np.searchsorted(every, g), j] = np.arange(len(g))
+                self.rank[j, np.searchsorted(every, g)] = np.arange(len(g))
             self.of_script = {s: np.array([x == s for x in self.scripts]) for s in ("Latin", "Cyrillic")}
         return self
 
     def distances(self, code: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
         """Mean out-of-place distance of each segment to each profile; ``PROFILE`` for empty segments."""
         c = code.astype(np.int32)
-        b, a = np.zeros_like(c), np.zeros_like(c)
-        b[1:], a[2:] = c[:-1], c[:-2]
-        ids, segs = [], []
-        two, three = b << 8 | c, a << 16 | b << 8 | c
-        for table, key, ok in ((self.index[0], c, None), (self.index[1], two, None), (self.index[2], three, b > 0)):
+        two = c.copy()
+        two[1:] |= c[:-1] << 8
+        three = c.copy()
+        three[1:] |= self.pair[two[:-1]]
+        bits = self.size.bit_length()
+        base = seg.astype(np.int64) << bits
+        keys = []
+        for table, key in zip(self.index, (c, two, three)):
             k = table[key]
-            use = k >= 0 if ok is None else (k >= 0) & ok
-            ids.append(k[use])
-            segs.append(seg[use])
+            use = np.flatnonzero(k >= 0)
+            keys.append(base[use] | k[use])
         out = np.full((n, len(self.langs)), float(PROFILE))
-        key = np.concatenate(segs).astype(np.int64) * self.size + np.concatenate(ids)
+        key = np.concatenate(keys)
         if not len(key):
             return out
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
-        s, g = key[first] // self.size, key[first] % self.size
-        order = np.argsort(s << 36 | (0xFFFF - np.minimum(count, 0xFFFF)) << 20 | g)  # n-gram numbers stay below 2**20
-        s, g = s[order], g[order]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        rank = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
-        keep = rank < TOP
-        s, g, rank = s[keep], g[keep], rank[keep].astype(np.int16)
+        key = key[first]
+        s, g = key >> bits, key & (1 << bits) - 1
+        key = s << 36 | (0xFFFF - np.minimum(count, 0xFFFF)) << 20 | g  # n-gram numbers stay below 2**20
+        key.sort()
+        s, g = key >> 36, key & 0xFFFFF
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        known = self.rank[g]
-        places = np.abs(known - rank[:, None])
-        places[known == PROFILE] = PROFILE
-        total = np.add.reduceat(places, start, axis=0, dtype=np.int64)
-        out[s[start]] = total / np.diff(np.append(start, len(s)))[:, None]
+        size = np.diff(np.append(start, len(s)))
+        rank = np.arange(len(s)) - np.repeat(start, size)
+        if size.max() > TOP:
+            keep = rank < TOP
+            s, g, rank = s[keep], g[keep], rank[keep]
+            start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.append(start, len(s)))
+        rank = rank.astype(np.int16)
+        at = s[start]
+        for j, places in enumerate(self.rank):
+            known = places[g]
+            far = np.abs(known - rank)
+            far[known == PROFILE] = PROFILE
+            out[at, j] = np.add.reduceat(far, start, dtype=np.int32) / size
         return out
 
     def line_distances(self, texts: list[str]) -> np.ndarray:
@@ -434,8 +451,11 @@ def fit(documents: DataFrame, codes: DataFrame, per_label: int = PER_LABEL) -> P
     """Profiles from a bounded sample: about ``per_label`` documents of each label of at most SAMPLE_CHARS characters, at most twice as many in all."""
     scripts = {r.lang_code: r.script for r in codes.select("lang_code", "script").distinct().collect()}
     known = labels(documents.where("text <> ''").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "lang"), codes, "lang").where("labelled is not null")
-    sizes = known.groupBy("labelled").agg(F.count("*").alias("n"))
-    pick = known.join(sizes, "labelled").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_label << 20))
+    sizes = known.groupBy("labelled").agg(F.count("*").alias("n")).collect()  # one row for each listed language
+    if not sizes:
+        return train([], scripts)
+    n = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.labelled, r.n)]), F.col("labelled"))
+    pick = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * n < F.lit(per_label << 20))
     rows = pick.select("doc_id", "labelled", "text").limit(2 * per_label * max(1, len(scripts))).collect()
     return train([(r.labelled, r.text) for r in sorted(rows, key=lambda r: r.doc_id)], scripts)
 
@@ -443,11 +463,16 @@ def fit(documents: DataFrame, codes: DataFrame, per_label: int = PER_LABEL) -> P
 _RUN = re.compile(r"([^\W\d_])\1{7,}")
 
 
-def _any_runs(texts: list[str]) -> bool:
-    """Whether some character stands eight times in a row anywhere; one look at all texts."""
+def _with_runs(texts: list[str]) -> list[int]:
+    """Which texts hold some letter eight times in a row; one look at all of them."""
     cp = np.frombuffer("\x01".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     same = np.flatnonzero(cp[1:] == cp[:-1])
-    return bool((same[6:] - same[:-6] == 6).any())
+    at = same[:-6][same[6:] - same[:-6] == 6]
+    if not len(at):
+        return []
+    letter = [c for c in np.unique(cp[at]).tolist() if _RUN.match(chr(c) * 8)]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return np.unique(np.searchsorted(ends, at[np.isin(cp[at], letter)], side="right")).tolist()
 
 
 def _without_runs(text: str) -> str:
@@ -474,8 +499,8 @@ def identified(df: DataFrame, profiles: Profiles) -> DataFrame:
             for k in range(0, batch.num_rows, 400):
                 part = batch.slice(k, 400)
                 texts = [t or "" for t in part.column(5).to_pylist()]
-                if _any_runs(texts):
-                    texts = [_without_runs(t) for t in texts]
+                for r in _with_runs(texts):
+                    texts[r] = _without_runs(texts[r])
                 total, sure, s = p.classify(texts)
                 lost = np.bincount(s["rec"], s["lost"], len(texts))
                 spoilt = np.flatnonzero(lost > total.sum(1))

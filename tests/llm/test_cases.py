@@ -108,6 +108,42 @@ def test_garbled_texts_have_a_language(make):
     assert langid.readable("naïve café") is None and langid.readable("") is None
 
 
+def test_distances_are_out_of_place_means_with_small_tables():
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    rnd = random.Random(3)
+    letters = langid.tables()[1]
+    texts = ["".join(rnd.choice("abcdefghij klmnop ßéñ") for _ in range(n)) for n in (0, 1, 2, 40, 400, 6000)] + ["да нет " * 9]
+    codes = [letters[np.frombuffer((t + "\x01").encode("utf-32-le"), np.uint32)] for t in texts]
+    grams = [[int(g) for x in langid.ngram_codes(c) for g in x if g >= 0] for c in codes]
+    order = [sorted(set(g), key=lambda x, n=Counter(g): (-n[x], x))[: langid.PROFILE] for g in (grams[5], grams[4] + grams[6])]
+    p = langid.Profiles(["a", "b"], ["Latin", "Latin"], [np.array(o, np.int64) for o in order], {}).prepare()
+    every = sorted(set(order[0] + order[1]))
+    got = p.distances(np.concatenate(codes), np.repeat(np.arange(len(texts)), [len(c) for c in codes]), len(texts))
+    for g, row in zip(grams, got):
+        n = Counter(x for x in g if x in set(every))
+        top = sorted(n, key=lambda x: (-n[x], x))[: langid.TOP]
+        want = [sum(abs(r - o.index(x)) if x in o else langid.PROFILE for r, x in enumerate(top)) / len(top) if top else langid.PROFILE for o in order]
+        assert row.tolist() == pytest.approx(want)
+    assert sum(t.nbytes for t in p.index) < 1 << 21
+
+
+def test_only_texts_with_runs_of_a_letter_are_looked_at():
+    texts = ["aaaaaaa", "an aaaaaaaa!", "........ 11111111", "", "ж" * 9, "aaaa", "aaaa"]
+    assert langid._with_runs(texts) == [r for r, t in enumerate(texts) if langid._RUN.search(t)] == [1, 4]
+    assert langid._with_runs([]) == []
+
+
+def test_token_counts_alone_leave_the_workers(make):
+    docs = make("documents", [{"doc_id": i, "text": t} for i, t in enumerate([None, "", "one two", "Ünïcode 漢字 <|endoftext|>"])])
+    got = encode.token_counts(docs)
+    assert rows(got) == {(r.doc_id, len(r.ids)) for r in encode.encode(docs).collect()}
+    assert "ids" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---- 3
 
 def line(i, text, **kw):
